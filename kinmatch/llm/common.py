@@ -10,7 +10,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,22 @@ _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(ship, "context", None) is sc:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="kinmatch-")) / "kinmatch.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    sc.addPyFile(str(archive))
+    ship.context = sc
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

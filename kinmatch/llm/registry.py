@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import exact_dedup
+from kinmatch.llm import exact_dedup, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": exact_dedup.query,
+        "op4_near_dedup": near_dedup.query,
     }
 
 
