@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import exact_dedup, near_dedup
+from kinmatch.llm import decontaminate, exact_dedup, mixing, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op4_near_dedup": near_dedup.query,
+        "op5_mixing": mixing.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
