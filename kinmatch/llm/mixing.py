@@ -8,7 +8,8 @@ taken and documents taken), so that each step decides at least one of them
 and keeps both totals. A source is dealt into blocks by id; each block ends
 with at most two undecided documents, which meet the leftovers of the other
 blocks in the next level, until one block per source is left. Its last two
-documents are the landing problem: the choice whose words come nearest.
+documents and ten kept back, of all sizes, are the landing problem: of all
+choices the one whose words come nearest to the expected ones.
 
 Defined results: null texts have size 0; a null source is a source of its own
 and comes last; sources without words have target 0; equal rows are decided
@@ -31,6 +32,8 @@ SHARE = 1.5
 MOST = 2.0
 #: Documents that one task decides at a time; at most two of them go on to the next level.
 BLOCK_DOCS = 1024
+#: Documents of a source that are kept for the landing problem, besides at most two that the flight leaves.
+RESERVE = 10
 #: Sources are listed on the driver (name and total only); more than this many is an error, not a cut.
 MAX_SOURCES = 1_000_000
 
@@ -90,13 +93,15 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last undecided documents: of all choices the one whose words come nearest to the expected ones."""
+    """Decide the last open documents: the choice whose words, then documents, come nearest to the expected ones."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want = float((p[open_] * size[open_]).sum())
-    choices = [[(c >> b) & 1 for b in range(open_.size)] for c in range(1 << open_.size)]
-    best = min(choices, key=lambda c: (abs(float(np.dot(c, size[open_])) - want), abs(sum(c) - p[open_].sum()), c))
+    if not open_.size:
+        return p
+    choices = (np.arange(1 << open_.size)[:, None] >> np.arange(open_.size)) & 1
+    words = np.abs(choices @ size[open_] - (p[open_] * size[open_]).sum())
+    docs = np.abs(choices.sum(1) - p[open_].sum())
     out = p.copy()
-    out[open_] = best
+    out[open_] = choices[np.lexsort((docs, words))[0]]
     return out
 
 
@@ -105,8 +110,14 @@ def _decide(last: bool):
         # large documents first: those left undecided are among the smallest
         pdf = pdf.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         seed = hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
-        p = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), np.random.default_rng(int.from_bytes(seed, "little")))
-        return pdf.assign(p=landing(p, pdf["size"].to_numpy()) if last else p)
+        p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
+        fly = np.ones(p.size, bool)
+        if last:  # documents of every size wait for the landing, which then has room to meet the totals
+            open_ = np.flatnonzero((p > 0) & (p < 1))
+            fly[open_[np.linspace(0, open_.size - 1, min(RESERVE, open_.size)).astype(int)]] = False
+        p = p.copy()
+        p[fly] = flight(p[fly], size[fly], np.random.default_rng(int.from_bytes(seed, "little")))
+        return pdf.assign(p=landing(p, size) if last else p)
 
     return run
 
