@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import decontaminate, exact_dedup, mixing, near_dedup
+from kinmatch.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": quality.query,
         "op2_exact_dedup": exact_dedup.query,
         "op4_near_dedup": near_dedup.query,
         "op5_mixing": mixing.query,
