@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
+from kinmatch.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": exact_dedup.query,
         "op4_near_dedup": near_dedup.query,
         "op5_mixing": mixing.query,
+        "op6_language_id": language_id.query,
         "op10_decontaminate": decontaminate.query,
     }
 
