@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmatch.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, toxicity
+from kinmatch.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_count, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_near_dedup": near_dedup.query,
         "op5_mixing": mixing.query,
         "op6_language_id": language_id.query,
+        "op8_token_count": token_count.query,
         "op9_toxicity": toxicity.query,
         "op10_decontaminate": decontaminate.query,
     }
