@@ -11,10 +11,10 @@
    filter): the lists of lines that many texts share are skipped, and the
    counts over the skipped lists come from the signatures themselves.
 4. Members of a list are first held against two representatives of the list,
-   its smallest and largest id. Confirmed links are contracted, and what
-   still lies in different components of one list is compared exhaustively,
-   so that a large group costs its size, not its square, and no link between
-   components is lost.
+   its smallest and largest id. Confirmed links are contracted; what still
+   lies in different components of one list is compared exhaustively inside a
+   join on the list, by sketches of 1024 bits, so that only pairs near the
+   threshold leave it and no link between components is lost.
 5. Pairs with enough collisions are confirmed on the full shingle sets.
 
 Guarantee: the confirmation is exact; a link of similarity 0.8 is missed as a
@@ -30,6 +30,7 @@ as their own component; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,40 @@ def _set_builder(width: int):
     return run
 
 
+#: Bits of the fine sketch, and how many may differ: at similarity 0.8 a tenth of them is expected to,
+#: and more than this limit with probability below 1e-5.
+FINE_BITS = 1024
+FINE_APART = 146
+_FINE_SEEDS = mix(np.arange(1001, 1001 + FINE_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit of each of 1024 further minima, packed into 16 words a set."""
+    bits = np.empty((len(sets), FINE_BITS), bool)
+    starts = np.concatenate([[0], np.cumsum([s.size for s in sets])[:-1]])
+    joined = np.concatenate(sets)
+    for i, seed in enumerate(_FINE_SEEDS):
+        h = joined * seed
+        h ^= h >> np.uint64(29)
+        bits[:, i] = (mix(np.minimum.reduceat(h, starts)) & np.uint64(1)).astype(bool)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            words = part.column(1)
+            sets = [np.asarray(w.values).view(np.uint64) for w in words]
+            flat = fine_sketches(sets).ravel()
+            ends = pa.array(np.arange(0, flat.size + 1, FINE_BITS // 64, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "fine"])
+
+
+def bits_apart(left: str, right: str):
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(FINE_BITS // 64)))
+
+
 def collisions(left: str, right: str):
     """In how many coordinates two signatures agree."""
     return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -174,10 +209,18 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     )
     open_lists = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
     rest = materialize(placed.join(materialize(open_lists, "open"), "key", "left_semi"), "rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
-    more = _confirmed(cross.select("a", "b").distinct(), reps, sets, matches, percent)
+    # Each pair meets once, under its first common key, and only if its fine sketches are near enough: a blurred
+    # group, whose members resemble each other just below the threshold, then stays inside the join.
+    nodes = rest.select("node").distinct()
+    fine = materialize(sets.join(nodes, "node", "left_semi").mapInArrow(_fine, "node long, fine array<long>"), "fine")
+    keys = materialize(posts.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
+    rest = materialize(rest.join(fine, "node").join(keys, "node"), "rest")
+    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("fine").alias("fa"), F.col("keys").alias("ka"))
+    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("fine").alias("fb"), F.col("keys").alias("kb"))
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close
+    cross = left.join(right, (left["key"] == right["key"]) & apart & (bits_apart("fa", "fb") <= FINE_APART) & once)
+    more = _confirmed(materialize(cross.select("a", "b"), "cross"), reps, sets, matches, percent)
     every = materialize(found.unionByName(more), "every")
     return every, materialize(connected_components(every), "comps")
 
