@@ -73,8 +73,7 @@ def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 def save_bundle(model, features: Sequence[str], path: str) -> None:
     model.write().overwrite().save(f"{path}/model")
-    spark = model._java_obj and SparkSession.active()
-    write_metrics(spark, {"feature_columns": list(features)}, f"{path}/features")
+    write_metrics(SparkSession.active(), {"feature_columns": list(features)}, f"{path}/features")
 
 
 def load_bundle(spark: SparkSession, path: str):

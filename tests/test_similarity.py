@@ -39,7 +39,7 @@ def test_empty_cases(spark):
     rows = df.select(sim.jaccard("ta", "tb"), sim.token_overlap("ta", "tb"), sim.containment("ta", "tb"), sim.length_ratio("a", "b"), sim.lcs_ratio("a", "b"), sim.lcs_ratio("a", "b", 0.0), sim.exact_present("a", "b"), sim.exact_normalized("a", "b")).collect()
     assert tuple(rows[0]) == (1, 0, 1, 1, 1, 0, 0, 1)
     assert tuple(rows[1]) == (0,) * 8 and tuple(rows[2]) == (0,) * 8
-    assert rows[3][0] == 0.5 and rows[3][1] == pytest.approx(2 / 3) and rows[3][4] == pytest.approx(0.8)
+    assert rows[3][0] == 0.5 and rows[3][1] == pytest.approx(2 / 3) and rows[3][4] == pytest.approx(0.6)
     assert rows[4][0] == 1 and rows[5][6] == 1
 
 
