@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmatch.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from kinmatch.llm.common import materialize, ship, table
+from kinmatch.llm.common import materialize, table
+from kinmatch.shipping import ship
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
@@ -36,7 +37,7 @@ def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     sha, rank = _fresh(docs, "text_sha"), _fresh(docs, "copy_rank")
     kept = materialize(exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "kept")
     marked = docs.withColumn(sha, F.sha2(exact_dedup.normalized(), 256))
-    held = marked.join(kept, (F.col(sha) == F.col("_sha")) & marked["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    held = marked.join(kept, (marked[sha] == kept["_sha"]) & marked["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     one = Window.partitionBy(sha, "doc_id").orderBy("doc_id")
     return held.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).select(*docs.columns)
 
