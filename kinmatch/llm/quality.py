@@ -130,7 +130,10 @@ def score(docs: DataFrame, model: CompressionModel, columns: list[str], into: st
     """``columns`` of ``docs`` and the score as ``into``, in one pass over the whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(into, T.DoubleType())])
-    return docs.select(*columns, F.col("text").alias("_scored")).mapInArrow(_scorer(shared, into), schema)
+    name = "_scored"
+    while name in columns:
+        name += "_"
+    return docs.select(*columns, F.col("text").alias(name)).mapInArrow(_scorer(shared, into), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

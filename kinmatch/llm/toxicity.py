@@ -72,7 +72,7 @@ class Units:
         hashes: dict[int, np.ndarray] = {}
         for n in range(1, max(g[1] for g in GRAMS) + 1):
             step = np.zeros(buffer.size, np.uint64)
-            step[: buffer.size - n + 1] = buffer[n - 1 :]
+            step[: max(0, buffer.size - n + 1)] = buffer[n - 1 :]
             rolled = rolled * _U(0x100000001B3) + step + _U(n)
             hashes[n] = rolled
             made = n
