@@ -32,7 +32,7 @@ from kinmatch.llm.labelled import fit_logistic, labelled_sample, logistic
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
 #: Labelled texts of each class that the model is fitted on.
-PER_CLASS = 1500
+PER_CLASS = 1200
 THRESHOLD = 0.3
 BUCKETS, HELD_OUT = 4, 2
 EPOCHS = 12
@@ -83,7 +83,8 @@ class Units:
             else:
                 at = np.flatnonzero(room >= n)
                 grams.append((number[at], mix(hashes[n][at])))
-        return Units(words, bounds, grams)
+        # the lowest bit is left free for a label
+        return Units(words & ~_U(1), bounds, [(at, h & ~_U(1)) for at, h in grams])
 
     def kinds(self) -> list[tuple[np.ndarray, np.ndarray]]:
         return [(np.arange(self.words.size), self.words), *self.grams]
@@ -118,19 +119,31 @@ def log_odds(positive: np.ndarray, total: np.ndarray, prior: float) -> np.ndarra
     return np.log(p / (1 - p)) - np.log(prior / (1 - prior))
 
 
-def learn_evidence(units: list[Units], labels: np.ndarray) -> list[Evidence]:
-    """``units`` hold one text each; a unit counts once a text."""
-    prior = float(np.clip(labels.mean(), 0.02, 0.98))
+def learn_evidence(rows: list[tuple[bytes, int]]) -> list[Evidence]:
+    """Evidence of all units of the labelled texts; a unit counts once a text.
+
+    Only each text's distinct hashes are held, with the label in the bit that
+    hashes leave free, and one kind of unit is sorted and counted at a time.
+    """
+    prior = float(np.clip(np.mean([y for _, y in rows]), 0.02, 0.98))
+    held: list[list[np.ndarray]] = [[] for _ in range(FEATURES)]
+    for text, y in rows:
+        for kind, (_, keys) in enumerate(Units.of([text]).kinds()):
+            held[kind].append(np.unique(keys) | _U(y))
     tables = []
     for kind in range(FEATURES):
-        each = [np.unique(u.kinds()[kind][1]) for u in units]
-        keys = np.concatenate(each) if each else np.empty(0, np.uint64)
-        y = np.repeat(labels, [e.size for e in each])
-        unique, inverse, total = np.unique(keys, return_inverse=True, return_counts=True)
-        positive = np.bincount(inverse, weights=y, minlength=unique.size)
+        keys = np.concatenate(held[kind])
+        held[kind] = []
+        keys.sort()
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] | _U(1)) != (keys[:-1] | _U(1))])) if keys.size else np.empty(0, np.int64)
+        total = np.diff(np.concatenate([starts, [keys.size]]))
+        often = np.flatnonzero(total >= LEAST_TEXTS)
+        starts, total = starts[often], total[often]
+        ends = np.concatenate([[0], np.cumsum(keys & _U(1), dtype=np.int64)])
+        positive = ends[starts + total] - ends[starts]
         value = log_odds(positive, total, prior)
-        keep = (total >= LEAST_TEXTS) & (value >= LEAST_EVIDENCE)
-        tables.append(Evidence(unique[keep], value[keep], np.stack([positive[keep], total[keep]], 1)))
+        keep = value >= LEAST_EVIDENCE
+        tables.append(Evidence(keys[starts[keep]] & ~_U(1), value[keep], np.stack([positive[keep], total[keep]], 1)))
     return tables
 
 
@@ -292,13 +305,15 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityMode
     prior = share if prior is None else prior
     if min((labels == 0).sum(), (labels == 1).sum()) < 3:
         return ToxicityModel([], None, np.zeros(3), prior)
-    units = [Units.of(folded([t])) for t, _ in rows]
-    tables = learn_evidence(units, labels)
+    texts = folded([t for t, _ in rows])
+    tables = learn_evidence(list(zip(texts, labels.tolist(), strict=True)))
     kept = float(np.clip(labels.mean(), 0.02, 0.98))
-    vectors = [word_vectors(u, tables, int(y), kept) for u, y in zip(units, labels, strict=True)]
     rng = np.random.default_rng(3)
-    xs, ys = [], []
-    for x, u, y in zip(vectors, units, labels, strict=True):
+    xs, ys, vectors = [], [], []
+    for text, y in zip(texts, labels, strict=True):
+        u = Units.of([text])
+        x = word_vectors(u, tables, int(y), kept)
+        vectors.append((x, u.bounds))
         w, _, _ = windows_of(x, u.bounds)
         strength = w[:, :, :-1].sum(2).max(1)
         best = int(strength.argmax())
@@ -311,7 +326,7 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityMode
     network = Network.fresh()
     network.train(x, y, np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())))
     model = ToxicityModel(tables, network, np.zeros(3), prior)
-    f = np.concatenate([model.document_features(v, u.bounds) for v, u in zip(vectors, units, strict=True)])
+    f = np.concatenate([model.document_features(x, bounds) for x, bounds in vectors])
     weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
     model.calibration = fit_logistic(f, labels, weight, ridge=0.5)
     for t in tables:
