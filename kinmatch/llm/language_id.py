@@ -38,6 +38,12 @@ TRAIN_STEPS = 700
 BUCKETS, HELD_OUT = 5, 0
 
 _LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 #: Bytes to 1 where they belong to a letter (ASCII letters, and all of UTF-8 beyond ASCII).
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)], np.float32)
 
@@ -110,7 +116,7 @@ def fit(rows: list[tuple[str, str]], steps: int = TRAIN_STEPS, seed: int = 7) ->
     """Train on (text, language) by Adam on random crops of many lengths."""
     languages = sorted({y for _, y in rows}, key=lambda s: s.encode("utf-8", "surrogatepass"))
     rng = np.random.default_rng(seed)
-    by = [[t.encode("utf-8", "surrogatepass") for t, y in rows if y == lang and _LETTER.search(t)] for lang in languages]
+    by = [[t.encode("utf-8", "surrogatepass") for t, y in rows if y == lang and has_letter(t)] for lang in languages]
     by = [b or [b""] for b in by]
     k = len(languages)
     model = ByteCnn(
@@ -184,7 +190,7 @@ def _predictor(shared):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column(1).to_pylist()
-                letters = [t is not None and _LETTER.search(t) is not None for t in texts]
+                letters = [has_letter(t) for t in texts]
                 names, scores = ["und"] * len(texts), [0.0 if x and not model else 1.0 for x in letters]
                 some = [i for i, x in enumerate(letters) if x]
                 if some and model:

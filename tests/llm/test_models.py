@@ -36,7 +36,7 @@ def test_language_on_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.93
 
 
-EDGES = [(1, None), (2, ""), (3, "1234 ---"), (4, prose(1)), (4, prose(1)), (None, prose(2)), (5, prose(3, 30000)), (6, "x")]
+EDGES = [(1, None), (2, ""), (3, "1234 ---"), (4, prose(1)), (4, prose(1)), (None, prose(2)), (5, prose(3, 30000)), (6, "x"), (7, "² ½ Ⅷ 7")]
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +97,7 @@ def test_quality_edges(spark):
 def test_language_edges(spark):
     model = language_id.fit([(prose(i), "xx") for i in range(20)] + [("éàü " * 30 + str(i), "yy") for i in range(20)], steps=150)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(documents(spark, EDGES), model).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 1.0)
+    assert got[1] == got[2] == got[3] == got[7] == ("und", 1.0)
     assert got[4][0] == got[5][0] == "xx"
     assert language_id.predict(documents(spark, EDGES), None).filter("lang_pred <> 'und'").count() == 0
 
