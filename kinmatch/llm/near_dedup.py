@@ -13,7 +13,7 @@
 4. Members of a list are first held against two representatives of the list,
    its smallest and largest id. Confirmed links are contracted; what still
    lies in different components of one list is compared exhaustively inside a
-   join on the list, by sketches of 1024 bits, so that only pairs near the
+   join on the list, by sketches of 2048 bits, so that only pairs near the
    threshold leave it and no link between components is lost.
 5. Pairs with enough collisions are confirmed on the full shingle sets.
 
@@ -113,13 +113,13 @@ def _set_builder(width: int):
 
 #: Bits of the fine sketch, and how many may differ: at similarity 0.8 a tenth of them is expected to,
 #: and more than this limit with probability below 1e-5.
-FINE_BITS = 1024
-FINE_APART = 146
+FINE_BITS = 2048
+FINE_APART = 266
 _FINE_SEEDS = mix(np.arange(1001, 1001 + FINE_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One bit of each of 1024 further minima, packed into 16 words a set."""
+    """One bit of each of 2048 further minima, packed into 32 words a set."""
     bits = np.empty((len(sets), FINE_BITS), bool)
     starts = np.concatenate([[0], np.cumsum([s.size for s in sets])[:-1]])
     joined = np.concatenate(sets)
@@ -164,16 +164,20 @@ def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
     return materialize(ranked.select("node", "n", F.col("p.key").alias("key")), "posts")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions whose full sets are similar enough."""
+def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough coordinates."""
     sig = reps.select("node", "sig")
-    likely = (
+    return (
         pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .filter(collisions("sa", "sb") >= matches)
         .select("a", "b")
     )
-    likely = materialize(likely, "likely")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    likely = materialize(pairs, "likely")
     both = (
         likely.join(sets.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
@@ -202,7 +206,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    found = _confirmed(star, reps, sets, matches, percent)
+    found = _confirmed(_colliding(star, reps, matches), sets, percent)
     comps = materialize(connected_components(found), "comps")
     placed = materialize(
         posts.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed"
@@ -220,7 +224,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close
     cross = left.join(right, (left["key"] == right["key"]) & apart & (bits_apart("fa", "fb") <= FINE_APART) & once)
-    more = _confirmed(materialize(cross.select("a", "b"), "cross"), reps, sets, matches, percent)
+    more = _confirmed(cross.select("a", "b"), sets, percent)
     every = materialize(found.unionByName(more), "every")
     return every, materialize(connected_components(every), "comps")
 
