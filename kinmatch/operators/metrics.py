@@ -99,6 +99,15 @@ def classification_report(scored: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0)).select("label", "precision", "recall", "f1", "support")
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """Macro and support-weighted means of a classification report."""
+    names = ("precision", "recall", "f1")
+    total = F.sum("support")
+    one = report.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *((F.sum(F.col(c) * F.col("support")) / total).alias(f"w_{c}") for c in names), total.alias("support"))
+    rows = [F.struct(F.lit(label).alias("average"), *(F.col(f"{tag}_{c}").alias(c) for c in names), F.col("support")) for label, tag in (("macro", "m"), ("weighted", "w"))]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def entity_f05(predictions: DataFrame, truth: DataFrame, beta: float = 0.5) -> DataFrame:
     """F-beta of each truth record; both are (source1_entity_id, ids array).
 

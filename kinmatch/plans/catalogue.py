@@ -516,11 +516,19 @@ def q_confusion(spark, d):
     return rounded(metrics.confusion(_scored(spark, d), 0.5))
 
 
-@_add("q_classification_report", f"WITH {SCORED_SQL}, k AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, sum(((probability >= 0.5)::INT = label AND y = label)::INT) AS hit, sum(((probability >= 0.5)::INT = label)::INT) AS said, sum((y = label)::INT) AS sup FROM s, k GROUP BY 1), e AS (SELECT *, {_div('hit', 'said')} AS p, {_div('hit', 'sup')} AS r FROM c) SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round({_fb('p', 'r', 1.0)}, 6) AS f1, sup::BIGINT AS support FROM e")
+_REPORT_SQL = f"{SCORED_SQL}, k AS (SELECT unnest([0, 1]) AS label), c AS (SELECT label, sum(((probability >= 0.5)::INT = label AND y = label)::INT) AS hit, sum(((probability >= 0.5)::INT = label)::INT) AS said, sum((y = label)::INT) AS sup FROM s, k GROUP BY 1), e AS (SELECT *, {_div('hit', 'said')} AS p, {_div('hit', 'sup')} AS r FROM c), rep AS (SELECT label, p AS precision, r AS recall, {_fb('p', 'r', 1.0)} AS f1, sup::BIGINT AS support FROM e)"
+
+
+@_add("q_classification_report", f"WITH {_REPORT_SQL} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rep")
 def q_classification_report(spark, d):
     return rounded(metrics.classification_report(_scored(spark, d), 0.5))
 
 
+@_add("q_report_averages", " UNION ALL ".join(f"(WITH {_REPORT_SQL} SELECT '{label}' AS average, " + ", ".join(f"round({f}, 6) AS {c}" for c, f in cells.items()) + ", sum(support)::BIGINT AS support FROM rep)" for label, cells in (("macro", {c: f"avg({c})" for c in ("precision", "recall", "f1")}), ("weighted", {c: f"sum({c} * support) / sum(support)" for c in ("precision", "recall", "f1")}))))
+def q_report_averages(spark, d):
+    return rounded(metrics.report_averages(metrics.classification_report(_scored(spark, d), 0.5)))
+
+
 @_add("q_probability_range", f"WITH {SCORED_SQL} SELECT min(probability) AS lowest, max(probability) AS highest, round(avg(probability), 6) AS mean, y FROM s GROUP BY y")
 def q_probability_range(spark, d):
     return rounded(_scored(spark, d).groupBy("y").agg(F.min("probability").alias("lowest"), F.max("probability").alias("highest"), F.avg("probability").alias("mean")))

@@ -64,6 +64,18 @@ def train(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_lists: DataFrame, s
     return fitted, held, values
 
 
+def run_training(spark: SparkSession, train_dir: str, bundle: str, out_dir: str, settings: Settings = Settings()) -> dict:
+    """Read the training tables, write the model bundle, its metrics and the threshold sweep of the held-out pairs."""
+    s1, s2, s3 = (tables.read_tsv(spark, f"{train_dir}/train_source{i}.tsv") for i in (1, 2, 3))
+    lists = tables.read_tsv(spark, f"{train_dir}/train_ground_truth.tsv", tables.TRUTH_SCHEMA)
+    fitted, held, values = train(s1, s2, s3, lists, settings)
+    tables.save_bundle(fitted, settings.features, bundle)
+    tables.write_metrics(spark, {k: float(v) for k, v in values.items()}, f"{out_dir}/metrics")
+    tables.write_tsv(metrics.threshold_sweep(held), f"{out_dir}/threshold_results", ["threshold"])
+    held.unpersist()
+    return values
+
+
 def infer(s1: DataFrame, s2: DataFrame, s3: DataFrame, fitted: PipelineModel, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(candidate lists, match lists) for every S1 record.
 

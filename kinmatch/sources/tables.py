@@ -66,6 +66,15 @@ def write_single_tsv(df: DataFrame, path: str, order: Sequence[str]) -> None:
     write_tsv(df.orderBy(*order).coalesce(1), path)
 
 
+def save_top_k(ranked: DataFrame, path: str) -> None:
+    """Ranked candidates once, in parts by source; ``rank <= k`` gives the list of any k."""
+    ranked.write.mode("overwrite").partitionBy("target_source").parquet(path)
+
+
+def load_top_k(spark: SparkSession, path: str, source: str, k: int) -> DataFrame:
+    return spark.read.parquet(path).filter((F.col("target_source") == source) & (F.col("rank") <= k))
+
+
 def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     """A small JSON document, through Spark's file systems."""
     spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

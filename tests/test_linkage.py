@@ -69,6 +69,18 @@ def test_inference_writes_lists_that_validate(spark, trained, tmp_path):
     assert main(["validate", str(tmp_path / "out/matching_results.tsv"), str(tmp_path / "out/candidate_pairs.tsv"), str(tmp_path)]) == 0
 
 
+def test_training_from_files(spark, trained, tmp_path):
+    (s1, s2, s3), settings, _ = trained
+    for n, df in (("train_source1", s1), ("train_source2", s2), ("train_source3", s3)):
+        tables.write_tsv(df, str(tmp_path / f"{n}.tsv"))
+    truth = spark.createDataFrame([(f"S1-{i}", f"S2-{i},S3-{i}") for i in range(60)], tables.TRUTH_SCHEMA)
+    tables.write_tsv(truth, str(tmp_path / "train_ground_truth.tsv"))
+    values = linkage.run_training(spark, str(tmp_path), str(tmp_path / "bundle"), str(tmp_path / "out"), settings)
+    fitted, names = tables.load_bundle(spark, str(tmp_path / "bundle"))
+    assert values["recall"] > 0.8 and tuple(names) == model.FEATURES and len(fitted.stages) == 3
+    assert spark.read.csv(str(tmp_path / "out/threshold_results"), sep="\t", header=True).count() == 11
+
+
 def test_streamed_batches(spark, trained, tmp_path):
     from kinmatch.streaming import candidates_of_stream
 
