@@ -55,7 +55,9 @@ PARTS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager masthead topbar toolbar skip hidden copyright legal disclaimer".split()
 )
 #: The same when they stand on a header element or container, but not on an article's own headings.
-HEADER_PARTS = frozenset("header head masthead topbar site".split())
+HEADER_PARTS = frozenset("header head masthead topbar".split())
+#: Words of a class that say how a layout treats a part, not that it is one.
+LAYOUT = frozenset("with without has no".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -82,7 +84,10 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> str:
             if name == "role":
                 role = value.strip().lower()
             elif name in ("class", "id"):
-                names |= set(_WORDS.findall(value.lower()))
+                for token in value.lower().split():
+                    words = set(_WORDS.findall(token))
+                    if not words & LAYOUT:
+                        names |= words
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 shown = False
             elif name == "itemprop":
@@ -135,6 +140,10 @@ def parse(text: str) -> Node:
                 if stack[i].tag in scope or stack[i].tag in BLOCKS and stack[i].tag != "p" and not scope:
                     break
         node = Node(tag, _kind(tag, m[3] or "", articles > 0))
+        if tag == "main":  # whatever its classes say, what holds the main element is no part around it
+            for above in stack:
+                if above.kind == "drop" and above.tag not in DROPPED:
+                    above.kind = ""
         stack[-1].children.append(node)
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCKS:
             continue

@@ -95,6 +95,8 @@ def test_extract():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<div> </div>") == ""
     assert html_text.extract("<p>plain</p>text &lt;b&gt;") == "plain\n\ntext <b>"
     assert html_text.extract("<article>un<p>closed <a href='x>y'>l</a>") == "un\n\nclosed l"
+    assert html_text.extract('<div id="page" class="site"><div class="content no-sidebar"><article><p>in</p></article></div></div>') == "in"
+    assert html_text.extract('<div class="widget"><main><p>in</p></main></div><div class="right sidebar"><p>out</p></div>') == "in"
     assert html_text.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
