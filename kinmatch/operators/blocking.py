@@ -68,13 +68,31 @@ def route(s1: DataFrame, target: DataFrame, r: Route) -> DataFrame:
     return pairs.select("source1_entity_id", "target_entity_id")
 
 
+def _posts(records: DataFrame, routes: list[Route]) -> DataFrame:
+    """(entity_id, route, key): one row a record and route whose keys are all present."""
+    present = lambda r: reduce(lambda x, y: x & y, (F.col(k) != "" for k in r.on))
+    each = [F.when(present(r), F.struct(F.lit(i).alias("route"), F.concat_ws("\x1f", *r.on).alias("key"))) for i, r in enumerate(routes)]
+    return records.select("entity_id", F.explode(F.array_compact(F.array(*each))).alias("p")).select("entity_id", "p.*")
+
+
 def candidates(s1: DataFrame, target: DataFrame, with_routes: bool = False) -> DataFrame:
-    """Distinct pairs of all routes; ``with_routes`` adds the sorted names of the routes that found each."""
-    routes = [r for r in ROUTES if with_routes or r.name not in IMPLIED]
-    found = reduce(DataFrame.unionByName, (route(s1, target, r).withColumn("route", F.lit(r.name)) for r in routes))
+    """Distinct pairs of all routes; ``with_routes`` adds the sorted names of the routes that found each.
+
+    Without provenance all routes are one join: the routes that remain are
+    guarded by their own key or not at all, so each record is posted once a
+    route, closed blocks leave both sides, and (route, key) is joined once.
+    """
     if with_routes:
+        found = reduce(DataFrame.unionByName, (route(s1, target, r).withColumn("route", F.lit(r.name)) for r in ROUTES))
         return found.groupBy("source1_entity_id", "target_entity_id").agg(F.array_sort(F.collect_set("route")).alias("routes"))
-    return found.drop("route").distinct()
+    routes = [r for r in ROUTES if r.name not in IMPLIED]
+    left, right = _posts(s1, routes), _posts(target, routes)
+    count = lambda d, n: d.groupBy("route", "key").agg(F.count("*").alias(n))
+    limits = F.create_map(*[x for i, r in enumerate(routes) if r.guard for x in (F.lit(i), F.lit(r.limit))])
+    blocks = count(left, "n1").join(count(right, "n2"), ["route", "key"])
+    blocks = blocks.filter(limits[F.col("route")].isNull() | (F.col("n1") * F.col("n2") <= limits[F.col("route")])).select("route", "key")
+    met = left.join(blocks, ["route", "key"]).withColumnRenamed("entity_id", "source1_entity_id").join(right.withColumnRenamed("entity_id", "target_entity_id"), ["route", "key"])
+    return met.select("source1_entity_id", "target_entity_id").distinct()
 
 
 def name_or_address(s1: DataFrame, target: DataFrame) -> DataFrame:
