@@ -22,9 +22,10 @@ candidate with probability below 2e-5 (binomial tail, 38 of 64 at 0.8).
 
 Defined results: null and empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; fewer words than a
-shingle count as one shingle; rows that repeat a doc_id each get the row of
-that id's smallest set hash (equal rows are equal); null doc_ids are returned
-as their own component; other columns are ignored.
+shingle count as one shingle; equal rows get equal results; ids are taken to
+name one text each (of an id with several texts, each row joins the class of
+its own text, and one of the texts stands for the id in further links); null
+doc_ids are returned as their own component; other columns are ignored.
 """
 
 from __future__ import annotations
