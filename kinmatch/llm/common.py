@@ -23,7 +23,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

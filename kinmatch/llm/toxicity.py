@@ -68,15 +68,14 @@ class Units:
         # bytes left in the word from each position
         stops = np.flatnonzero(~inside)
         room = stops[np.searchsorted(stops, np.arange(buffer.size))] - np.arange(buffer.size)
-        grams, rolled, made = [], np.zeros(buffer.size, np.uint64), 0
+        grams, rolled = [], np.zeros(buffer.size, np.uint64)
         hashes: dict[int, np.ndarray] = {}
         for n in range(1, max(g[1] for g in GRAMS) + 1):
             step = np.zeros(buffer.size, np.uint64)
             step[: max(0, buffer.size - n + 1)] = buffer[n - 1 :]
             rolled = rolled * _U(0x100000001B3) + step + _U(n)
             hashes[n] = rolled
-            made = n
-        for kind, n in GRAMS[: made and len(GRAMS)]:
+        for kind, n in GRAMS:
             if kind == "lead":
                 at = first[room[first] >= n]
                 grams.append((number[at], mix(hashes[n][at] ^ _U(0x5EAD << 32))))
