@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -55,6 +56,39 @@ def test_blocks_cover_all_items(spark, monkeypatch):
     assert set(got) == {(i, i) for i in range(12)}
 
 
+def test_masks_hit_every_pattern():
+    for n in range(12, 24):
+        for apart in itertools.combinations(range(n), n // 5):
+            text = ["1" if i in apart else "0" for i in range(n)]
+            assert any(all(c == "0" or t == "0" for c, t in zip(m, text[at:], strict=False)) for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (n, apart)
+
+
+def plain_overlap(a, b):
+    """Whether some diagonal of two word lists has 12 or more words of which 80 % are equal, from an equal word to an equal word."""
+    for d in range(-len(b), len(a)):
+        same = [a[i + d] == b[i] for i in range(len(b)) if 0 <= i + d < len(a)]
+        if any(same[i] and same[j - 1] and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + 12, len(same) + 1)):
+            return True
+    return False
+
+
+def test_recall_under_substitution():
+    rng, missed, leaks = random.Random(7), [], 0
+    cases = [(n, range(at, n, 5)) for n in (15, 20, 40, 60) for at in range(5)]  # every fifth word
+    cases += [(n, rng.sample(range(n), round(n * share))) for n in (12, 13, 15, 16, 20, 30, 45) for share in (0.1, 0.15, 0.2, 0.25) for _ in range(12)]
+    for k, (n, apart) in enumerate(cases):
+        item = [f"w{k}x{i}" for i in range(n)]
+        passage = ["swap" if i in apart else w for i, w in enumerate(item)]
+        text = [f"a{i}" for i in range(15)] + passage + [f"z{i}" for i in range(15)]
+        index = decontaminate.SeedIndex([1], [" ".join(item)])
+        h, bounds = decontaminate.word_hashes([" ".join(text).encode()], decontaminate.ALNUM_BYTES)
+        got = any(index.verify(h, i, d) for (_, i), diagonals in index.hits(h, bounds).items() for d in diagonals)
+        want = plain_overlap(text, item)
+        leaks += want
+        missed += [(n, sorted(apart))] if got != want else []
+    assert leaks > 200 and not missed
+
+
 def test_removal_keeps_columns(spark):
     docs = documents(spark, [(1, leaky(spark)), (2, prose(3)), (None, prose(4))])
     left = decontaminate.remove_leaks(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string"))
