@@ -1,14 +1,16 @@
 """Main text of web pages with removal of site templates.
 
-Pages are read as element trees. Subtrees outside the article's prose are
-hashed and counted per host in Spark (page counts, combined before the
-shuffle); a subtree that recurs on many pages of its host is part of the
-site's template and is deleted, and so are elements that by their tag, role
-or class are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments. What is left inside the article (the
-``article`` or ``main`` elements, else the whole body) is returned block by
-block. Prose inside an article is never deleted for recurring: a sentence
-that many pages quote is text, not template.
+Pages are read as element trees. Subtrees are hashed and counted per host in
+Spark (combined before the shuffle); a subtree that recurs on many pages of
+its host is part of the site's template and is deleted, and so are elements
+that by their tag, role or class are menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles or reader comments. What is left
+inside the article (the ``article`` or ``main`` elements, else the whole body)
+is returned block by block. Inside an article only whole containers (``div``,
+``section``, lists, tables, figures) are counted, by the articles of different
+text that hold them, so that one article at many addresses keeps its own.
+A paragraph, list item or table row of an article is never deleted for
+recurring by itself: a sentence that many pages quote is text, not template.
 
 Defined results: null, empty and text-free pages give the empty text; equal
 rows are extracted each; a null or odd url belongs to the host ""; other
@@ -42,6 +44,8 @@ BLOCKS = frozenset(
 #: Elements that a following element of the listed kinds closes.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "figcaption", "summary"}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt td th caption".split())
+#: Elements of an article that are template if they recur as a whole.
+CONTAINERS = frozenset("div section ul ol dl table figure".split())
 #: Elements that are never part of the main text.
 DROPPED = frozenset(
     "script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas math dialog menu head title meta link "
@@ -56,6 +60,7 @@ PARTS = frozenset(
 )
 #: The same when they stand on a header element or container, but not on an article's own headings.
 HEADER_PARTS = frozenset("header head masthead topbar".split())
+COMMENTS = frozenset("comment comments reply".split())
 #: Words of a class that say how a layout treats a part, not that it is one.
 LAYOUT = frozenset("with without has no".split())
 
@@ -86,14 +91,14 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> str:
             elif name in ("class", "id"):
                 for token in value.lower().split():
                     words = set(_WORDS.findall(token))
-                    if not words & LAYOUT:
+                    if not words & LAYOUT and (name == "class" or _names_part(tag, words, inside_article)):
                         names |= words
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 shown = False
             elif name == "itemprop":
                 item = value.strip().lower()
     if tag in ("body", "html", "article", "main") or role in ("main", "article") or item == "articlebody":
-        return "article" if tag not in ("body", "html") and (not names & {"comment", "comments", "reply"}) else "" if tag in ("body", "html") else "drop"
+        return "article" if tag not in ("body", "html") and not names & COMMENTS else "" if tag in ("body", "html") else "drop"
     if not shown or role in ROLES or names & PARTS:
         return "drop"
     if (tag == "header" or names & HEADER_PARTS and tag in ("div", "section", "table")) and not inside_article:
@@ -101,6 +106,13 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> str:
     return ""
 
 
+def _names_part(tag: str, words: set[str], inside_article: bool) -> bool:
+    """Whether an id may name a part: those of articles and inside them are often slugs of a heading, so every word must, and on a container."""
+    if tag in ("article", "main"):
+        return words <= COMMENTS
+    return not inside_article or tag in CONTAINERS and words <= PARTS
+
+
 def parse(text: str) -> Node:
     """The element tree of a page; comments, doctypes and raw contents of dropped elements are left out."""
     root = Node("#root", "")
@@ -160,41 +172,54 @@ def _hash(parts: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Node identity to hash for every element that may be template: it has text and is no prose of an article."""
+def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int], int | None]:
+    """Node identity to hash for every element that may be template: it has text and is no prose of an article.
+
+    Further the identities of those that stand inside an article, and a hash of the articles' text (null without any).
+    """
     found: dict[int, int] = {}
-    # a stack of (node, inside an article, parts collected so far, next child) instead of recursion
-    frames = [[root, False, [root.tag.encode()], 0]]
+    inside: set[int] = set()
+    words: list[bytes] = []
+    # a stack of (node, inside an article, dropped, parts collected so far, next child, holds an article) instead of recursion
+    frames = [[root, False, False, [root.tag.encode()], 0, False]]
     while frames:
         frame = frames[-1]
-        node, article, parts, i = frame
+        node, article, dropped, parts, i, holds = frame
         if i < len(node.children):
-            frame[3] += 1
+            frame[4] += 1
             child = node.children[i]
             if isinstance(child, str):
                 if t := child.strip():
                     parts.append(_SPACE.sub(" ", t).encode("utf-8", "surrogatepass"))
+                    if article and not dropped:
+                        words.append(parts[-1])
             else:
-                frames.append([child, article or child.kind == "article", [child.tag.encode()], 0])
+                frames.append([child, article or child.kind == "article", dropped or child.kind == "drop", [child.tag.encode()], 0, False])
             continue
         frames.pop()
         worth = len(parts) > 1
         value = _hash(parts) if worth else 0
         if worth and node.tag not in ("#root", "html", "body", "article", "main", "head") and node.tag in BLOCKS and not (article and _prose(node)):
-            found[id(node)] = value
+            # neither what is an article by its role nor what is wrapped around one is template
+            if node.kind != "article" and (article or not holds):
+                found[id(node)] = value
+                if article:
+                    inside.add(id(node))
+        if frames and (holds or node.kind == "article"):
+            frames[-1][5] = True
         if frames and worth:
-            frames[-1][2].append(value.to_bytes(8, "little", signed=True))
-    return found
+            frames[-1][3].append(value.to_bytes(8, "little", signed=True))
+    return found, inside, _hash(words) if words else None
 
 
 def _prose(node: Node) -> bool:
-    """A block of an article that reads as text: a paragraph or the like, or a container of them, lists included."""
-    return node.tag in PROSE or node.tag in ("li", "ul", "ol", "dl", "table", "tr", "tbody", "thead", "section", "div", "figure", "article", "main")
+    """A block of an article that reads as text: a paragraph or the like, an item of a list or a row of a table."""
+    return node.tag in PROSE or node.tag in ("li", "tr", "tbody", "thead", "tfoot")
 
 
 def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """Text blocks in page order, of the articles if there are any."""
-    hashes = subtree_hashes(root) if template else {}
+    hashes = subtree_hashes(root)[0] if template else {}
     has_article = _any_article(root)
     out: list[str] = []
     line: list[str] = []
@@ -248,12 +273,13 @@ def extract(text: str | None, template: frozenset[int] | set[int] = frozenset())
 
 def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, values = [], []
+        rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set(subtree_hashes(parse(page)).values()) if page else ()
-            hosts += [host] * len(own)
-            values += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(values, pa.int64())], ["host", "subtree"])
+            found, inside, article = subtree_hashes(parse(page)) if page else ({}, (), None)
+            rows.append((host, None, article))
+            rows += {(host, value, article if node in inside else None) for node, value in found.items()}
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "subtree", "article"])
 
 
 def host_of(url: str = "url"):
@@ -261,14 +287,19 @@ def host_of(url: str = "url"):
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, template array): hashes of the subtrees that recur on the host's pages.
+    """(host, template array): hashes of the subtrees that recur on the host's pages, or inside its articles of different text.
 
-    A host has at most (subtrees of a mean page) / ``least_share`` of them, whatever its number of pages.
+    A host has at most (subtrees of a mean page) / ``least_share`` of either, whatever its number of pages.
     """
-    seen = pages.select(host_of().alias("host"), "html").mapInArrow(_hasher, "host string, subtree long")
-    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    sizes = pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("pages"))
-    recurring = counted.join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages"))
+    seen = pages.select(host_of().alias("host"), "html").mapInArrow(_hasher, "host string, subtree long, article long")
+    texts = seen.groupBy("host", "subtree", "article").agg(F.count("*").alias("n"))
+    # without a subtree: all pages of the host and its articles of different text
+    on_pages = F.sum(F.when(F.col("subtree").isNull() | F.col("article").isNull(), F.col("n")).otherwise(0))
+    counted = texts.groupBy("host", "subtree").agg(on_pages.alias("pages"), F.count("article").alias("articles"))
+    counted = materialize(counted.filter(F.col("subtree").isNull() | (F.greatest("pages", "articles") >= least_pages)), "subtrees")
+    sizes = counted.filter("subtree IS NULL").select("host", F.col("pages").alias("all_pages"), F.col("articles").alias("all_articles"))
+    often = [(F.col(c) >= least_pages) & (F.col(c) >= least_share * F.col(f"all_{c}")) for c in ("pages", "articles")]
+    recurring = counted.filter("subtree IS NOT NULL").join(sizes, "host").filter(often[0] | often[1])
     return recurring.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 

@@ -150,6 +150,29 @@ def test_templates_go_and_prose_stays(spark):
     assert html_text.extract_pages(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_templates_inside_articles_go(spark):
+    boxes = "<div><p>Read our offers</p></div><ul><li>Home</li><li>Shop</li></ul><table><tr><td>Rates</td></tr></table>"
+    page = "<main><article><h2>Facts</h2><p>own {0}</p>" + boxes + "<ul><li>salt</li><li>spice {0}</li></ul><table><thead><tr><th>Year</th></tr></thead><tr><td>{0}</td></tr></table></article></main>"
+    rows = [(i, "http://a.example/x", page.format(i)) for i in range(8)]
+    # one article at many addresses is not the template of its host
+    rows += [(100 + i, f"http://b.example/{i}", f"<div><article><div><p>one text</p></div><div class='ad'>{i % 2}</div></article></div>") for i in range(8)]
+    rows += [(200 + i, f"http://c.example/{i}", "<article>" + boxes + f"<p>own {i}</p></article>") for i in range(4)]
+    # many copies of few articles: the share is that of different articles
+    rows += [(300 + i, "http://d.example/", f"<article><section>Ask us</section><p>own {i % 6}</p></article>") for i in range(240)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages(spark, rows)).collect()}
+    assert got[3] == "Facts\n\nown 3\n\nsalt\n\nspice 3\n\nYear\n\n3"
+    assert {got[100 + i] for i in range(8)} == {"one text"}
+    assert got[203] == "Read our offers\n\nHome\n\nShop\n\nRates\n\nown 3"
+    assert got[301] == "own 1"
+
+
+def test_slugs_inside_articles_drop_nothing():
+    kept = '<h2 id="legal-history">a</h2><section id="skip-lists"><p id="related-work">b</p></section><h3><span id="Comments">c</span></h3>'
+    assert html_text.extract(f'<article id="reply-to-critics">{kept}</article>') == "a\n\nb\n\nc"
+    assert html_text.extract('<article><p>a</p><div id="comments">x</div><div id="cookie-notice">x</div><div class="share-box">x</div></article>') == "a"
+    assert html_text.extract('<article id="comment-7">x</article><article>a</article>') == "a"
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "é" * 400_000 + "</p>"
     rows = [(1, "http://a\r\n/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "u", big), (7, "u", "a\r\n\r\nb"), (2, None, "same"), (None, "u", "same"), (None, "u", "solo")]
