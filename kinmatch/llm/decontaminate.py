@@ -19,13 +19,15 @@ The benchmark is a stated query set: it is taken in blocks of at most
 held against all rows.
 
 Defined results: null and empty texts and items match nothing; items of fewer
-than ``SHORTEST`` words match nothing; items shorter than the masks match only
-whole and word for word; equal rows and repeated ids are each reported; a null
+than ``SHORTEST`` words match only texts that are nothing else; items shorter
+than the masks match only whole and word for word; each character of a script
+without blanks between words is a word; equal rows and repeated ids are each reported; a null
 doc_id or item_id is reported as null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -52,10 +54,21 @@ MAKE_UP = 4
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, overlap long, matched long"
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 _BITS = 20
+#: Thai, Lao, Myanmar, Khmer, Chinese and Japanese; the first byte of their characters is 0xE0 or more.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_CHARACTER = re.compile(f"[{_UNSPACED}]")
 
 
 def _folded(values) -> list[bytes]:
-    return [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in values]
+    return [b"" if t is None else _apart(t.lower()) for t in values]
+
+
+def _apart(text: str) -> bytes:
+    """UTF-8 of a text with blanks around the characters of unspaced scripts."""
+    out = text.encode("utf-8", "surrogatepass")
+    if text.isascii() or np.frombuffer(out, np.uint8).max() < 0xE0:
+        return out
+    return _CHARACTER.sub(r" \g<0> ", text).encode("utf-8", "surrogatepass")
 
 
 def seed_hashes(h: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -77,6 +90,10 @@ class SeedIndex:
         h, bounds = word_hashes(_folded(texts), ALNUM_BYTES)
         self.ids, self.words = ids, [h[bounds[i] : bounds[i + 1]] for i in range(len(ids))]
         short = sorted({w.size for w in self.words if SHORTEST <= w.size < SPAN})
+        self.whole: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
+            if 0 < w.size < SHORTEST:
+                self.whole[w.tobytes()].append(i)
         self.masks = [*MASKS, *("1" * n for n in short)]
         self.tables = []
         for m, mask in enumerate(self.masks):
@@ -110,6 +127,11 @@ class SeedIndex:
             for p, t, a, b in zip(at[inside].tolist(), text[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
                 for i, q in places[a:b].tolist():
                     found[t, i].add(p - int(bounds[t]) - q)
+        if self.whole:
+            size = np.diff(bounds)
+            for t in np.flatnonzero((size > 0) & (size < SHORTEST)).tolist():
+                for i in self.whole.get(h[bounds[t] : bounds[t + 1]].tobytes(), ()):
+                    found[t, i].add(0)
         return found
 
     def verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
@@ -168,7 +190,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every verified overlap of a text with a benchmark item, one row a segment."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    words = items.select(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F]+"))).alias("n"), F.count("*").alias("items")).first()
+    words = items.select(F.sum(F.regexp_count("text", F.lit(rf"[{_UNSPACED}]|[^\x00-\x2F{_UNSPACED}]+"))).alias("n"), F.count("*").alias("items")).first()
     blocks = max(1, -(-(words["n"] or 0) // BLOCK_WORDS))
     out = None
     for b in range(blocks):

@@ -49,6 +49,13 @@ def test_short_and_missing_items(spark):
     assert set(got) == {(1, 1), (1, 5)}
 
 
+def test_shortest_and_unspaced_items(spark):
+    chinese, thai = "天地玄黄宇宙洪荒日月盈昃辰宿列张", "กขคงจฉชซญดตถทธนบปผฝพ"
+    items = [(1, "Is it so?"), (2, chinese), (3, thai), (4, "好")]
+    texts = [(1, "is it SO"), (2, "and is it so"), (3, f"他说{chinese[:7]}东{chinese[8:]}就走了"), (4, f"ฟภม{thai}ยรล"), (5, "好"), (6, "很好"), (7, f"他说{chinese[:7]}就走了")]
+    assert set(found(spark, texts, items)) == {(1, 1), (3, 2), (4, 3), (5, 4)}
+
+
 def test_blocks_cover_all_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
     items = [(i, prose(f"q{i}", 30)) for i in range(12)]
