@@ -7,7 +7,8 @@ are hashed the same way and joined on (mask, hash) inside the scan, so that
 only hits leave it. Around each hit the two texts are aligned on the hit's
 diagonal and the best segment is taken (+1 for an equal word, -3 for a
 substituted one); it counts if it is long enough and mostly equal. If it does
-not, the longest segment that is long enough and mostly equal is taken.
+not, the longest segment that is long enough and mostly equal is taken. The
+same is done with what lies before and behind it, until nothing more counts.
 
 The masks miss no such segment. One of 24 words or more can be cut in two of
 12 or more, of which one is as equal as the whole; and every way to place
@@ -134,18 +135,22 @@ class SeedIndex:
                     found[t, i].add(0)
         return found
 
-    def verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """(doc_start, item_start, overlap, matched) of the best segment on a diagonal, or None."""
+    def verify(self, doc: np.ndarray, item: int, diagonal: int) -> list[tuple[int, int, int, int]]:
+        """(doc_start, item_start, overlap, matched) of every segment on a diagonal; no two share a word."""
         words = self.words[item]
         q0, q1 = max(0, -diagonal), min(words.size, doc.size - diagonal)
         same = doc[q0 + diagonal : q1 + diagonal] == words[q0:q1]
         if words.size < SPAN:
-            return (q0 + diagonal, q0, words.size, words.size) if same.size == words.size and same.all() else None
-        span = best_segment(same)
-        if span is None:
-            return None
-        start, end = span
-        return q0 + start + diagonal, q0 + start, end - start, int(same[start:end].sum())
+            return [(q0 + diagonal, q0, words.size, words.size)] if same.size == words.size and same.all() else []
+        out, open_parts = [], [(0, same.size)]
+        while open_parts:
+            lo, hi = open_parts.pop()
+            span = best_segment(same[lo:hi]) if hi - lo >= MIN_OVERLAP else None
+            if span is not None:
+                start, end = lo + span[0], lo + span[1]
+                out.append((q0 + start + diagonal, q0 + start, end - start, int(same[start:end].sum())))
+                open_parts += [(lo, start), (end, hi)]
+        return out
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int] | None:
@@ -178,7 +183,7 @@ def _scanner(shared):
                 h, bounds = word_hashes(texts[lo:hi], ALNUM_BYTES)
                 for (t, item), diagonals in index.hits(h, bounds).items():
                     doc = h[bounds[t] : bounds[t + 1]]
-                    spans = {s for d in diagonals if (s := index.verify(doc, item, d))}
+                    spans = {s for d in diagonals for s in index.verify(doc, item, d)}
                     rows += [(ids[lo + t], index.ids[item], *s) for s in sorted(spans)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SCHEMA.split(", ")])
@@ -202,10 +207,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def best_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The longest overlap of each leaking (doc_id, item_id)."""
+    """The longest overlap of each leaking (doc_id, item_id), and all of them by position as ``passages``."""
     rank = F.struct("matched", "overlap", -F.col("doc_start"), -F.col("item_start"))
-    best = overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(rank).alias("r"))
-    return best.select("doc_id", "item_id", (-F.col("r.col3")).alias("doc_start"), (-F.col("r.col4")).alias("item_start"), F.col("r.overlap").alias("overlap"), F.col("r.matched").alias("matched"))
+    passage = F.struct("doc_start", "item_start", "overlap", "matched")
+    best = overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(rank).alias("r"), F.array_sort(F.collect_set(passage)).alias("passages"))
+    longest = [(-F.col("r.col3")).alias("doc_start"), (-F.col("r.col4")).alias("item_start"), F.col("r.overlap").alias("overlap"), F.col("r.matched").alias("matched")]
+    return best.select("doc_id", "item_id", *longest, "passages")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -215,5 +222,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per leaking (doc_id, item_id): where the passage lies in either text and how much of it agrees."""
+    """One row per leaking (doc_id, item_id): where the longest passage lies in either text, how much of it agrees, and all passages."""
     return best_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

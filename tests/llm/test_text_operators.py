@@ -56,6 +56,15 @@ def test_shortest_and_unspaced_items(spark):
     assert set(found(spark, texts, items)) == {(1, 1), (3, 2), (4, 3), (5, 4)}
 
 
+def test_all_passages_of_a_pair(spark):
+    item = prose("long", 60).split()
+    parts = item[:20] + [f"gap{i}" for i in range(15)] + item[35:]  # two parts on one diagonal
+    text = " ".join(["start"] * 5 + parts + ["middle"] * 7 + item[10:30])
+    got = found(spark, [(1, text)], [(1, " ".join(item))])[1, 1]
+    assert [tuple(p) for p in got["passages"]] == [(5, 0, 20, 20), (40, 35, 25, 25), (72, 10, 20, 20)]
+    assert (got["doc_start"], got["item_start"], got["overlap"], got["matched"]) == (40, 35, 25, 25)
+
+
 def test_blocks_cover_all_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
     items = [(i, prose(f"q{i}", 30)) for i in range(12)]
