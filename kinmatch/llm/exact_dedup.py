@@ -1,17 +1,22 @@
 """Exact deduplication against immutable snapshots screened by binary fuse filters.
 
-A store is a list of snapshots. Each holds the groups of one batch (digest,
-keeper, size) and, per digest shard, a static binary fuse filter over its
-digests. A new batch is grouped by digest on its own first, so a text with
-any number of copies is one row from then on; its digests are screened by
-the filters, shard beside shard, and only positives meet the exact buckets,
-where the bytes of the two keepers' texts are compared.
+A store is a list of snapshots. Each holds the groups that one batch added
+(digest, keeper, size) and, per digest shard, a static binary fuse filter over
+its digests. A new batch is grouped by digest on its own first, so a text with
+any number of copies is one row from then on. Its digests are screened by the
+filters, shard beside shard: what is negative in all of them is new and final;
+only positives meet the exact buckets, and only a group found there joins an
+older one. Nothing else merges groups of different batches.
+
+Every group of more than one row is then compared byte by byte: the smallest
+and the largest of its normalised texts, combined before the shuffle, are one
+and the same. Rows of a digest for which they are not (a collision) are
+grouped by their bytes instead.
 
 Defined results: null text is the empty text; empty texts are equal to each
 other; rows that repeat a doc_id are counted each; a null doc_id is never
 preferred as keeper unless the whole group has none; an empty table gives an
-empty result; other columns are ignored. Texts that a digest collision would
-join are told apart by length, a second digest, and the byte comparison.
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +40,14 @@ def normalized(column: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), SPACE_CLASS, " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: no text goes through a shuffle."""
+def digests(docs: DataFrame, *more: str) -> DataFrame:
+    """One narrow row per document: no text goes through a shuffle unless asked for by ``more``."""
     return docs.select("doc_id", normalized().alias("norm")).select(
         "doc_id",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.octet_length("norm").alias("n_bytes"),
         F.xxhash64("norm").alias("second"),
+        *more,
     )
 
 
@@ -92,57 +98,66 @@ class Snapshot:
         return groups.withColumn("shard", _shard(self.shards)).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, schema)
 
 
-def ingest(docs: DataFrame, batch: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
-    """Groups of ``batch`` (from :func:`grouped`) that equal a group of some snapshot.
-
-    ``docs`` supplies the texts for the byte check. Returns the key columns,
-    ``old_keep``, ``old_size`` and ``keep_id`` of the batch's group.
-    """
+def ingest(batch: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """``batch`` (from :func:`grouped`) with ``home``: the number of the snapshot that holds an equal digest, null for new ones."""
     found = None
-    for snapshot in snapshots:
-        positive = snapshot.screen(batch).filter("maybe").drop("maybe", "group_size")
-        old = snapshot.groups.select(*KEY, F.col("keep_id").alias("old_keep"), F.col("group_size").alias("old_size"))
-        hit = positive.join(old, KEY)
+    for number, snapshot in enumerate(snapshots):
+        positive = snapshot.screen(batch).filter("maybe").select(*KEY)
+        hit = positive.join(snapshot.groups.select(*KEY), KEY).withColumn("home", F.lit(number))
         found = hit if found is None else found.unionByName(hit)
-    found = materialize(found, "positives")
-    pairs = found.select("keep_id", "old_keep", "old_size", *KEY)
-    wanted = pairs.select(F.col("keep_id").alias("doc_id")).union(pairs.select("old_keep")).distinct()
-    texts = docs.select("doc_id", normalized().alias("norm")).join(wanted, "doc_id").groupBy("doc_id").agg(F.collect_set("norm").alias("norms"))
-    texts = materialize(texts, "texts")
-    checked = (
-        pairs.join(texts.select(F.col("doc_id").alias("keep_id"), F.col("norms").alias("new_bytes")), "keep_id", "left")
-        .join(texts.select(F.col("doc_id").alias("old_keep"), F.col("norms").alias("old_bytes")), "old_keep", "left")
-        .filter(F.arrays_overlap("new_bytes", "old_bytes") | F.col("keep_id").isNull() | F.col("old_keep").isNull())
-    )
-    return checked.drop("new_bytes", "old_bytes")
+    if found is None:
+        return batch.withColumn("home", F.lit(None).cast("int"))
+    # snapshots hold new digests only, so a digest is found in one of them at most
+    return batch.join(found, KEY, "left")
+
+
+def collided(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the ``wanted`` keys those that stand for texts of different bytes."""
+    texts = digests(docs, "norm").join(wanted, KEY)
+    return texts.groupBy(*KEY).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select(*KEY)
+
+
+def by_bytes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, group_size, digest) of the rows of ``keys``, grouped by their whole normalised texts."""
+    rows = materialize(digests(docs, "norm").join(keys, KEY), "collided")
+    groups = rows.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return rows.join(groups, "norm").select("doc_id", "keep_id", "group_size", "digest")
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """Deduplicate ``docs`` (doc_id, text) in ``batches`` ingestions; batch and snapshot come from the id alone.
+    """Deduplicate ``docs`` (doc_id, text) in ``batches`` ingestions; the batch comes from the id alone.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row per input
     row. Of rows that repeat the keeper's own id, each has ``kept`` true.
     """
-    rows = materialize(digests(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "digests")
+    rows = materialize(digests(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "digests")
     snapshots: list[Snapshot] = []
-    totals = None
+    members = None
     for b in range(batches):
-        batch = materialize(grouped(rows.filter(F.col("batch") == b)), "batch")
-        totals_b = batch.select(*KEY, "keep_id", "group_size")
-        if snapshots:
-            hits = ingest(docs, batch, snapshots)
-            totals_b = totals_b.unionByName(hits.select(*KEY, F.col("old_keep").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
-        totals = totals_b if totals is None else totals.unionByName(totals_b)
+        placed = ingest(materialize(grouped(rows.filter(F.col("batch") == b)), "batch"), snapshots)
+        placed = materialize(placed.withColumn("batch", F.lit(b)), "placed")
+        members = placed if members is None else members.unionByName(placed)
         if b + 1 < batches:
-            snapshots.append(Snapshot.freeze(batch))
-    groups = materialize(totals.groupBy(*KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).filter("group_size > 1"), "groups")
-    joined = rows.drop("batch").join(groups, KEY, "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select(
+            snapshots.append(Snapshot.freeze(placed.filter("home IS NULL").select(*KEY, "keep_id", "group_size")))
+    members = members.withColumn("home", F.coalesce("home", "batch"))
+    groups = members.groupBy("home", *KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = materialize(groups.filter("group_size > 1"), "groups")
+    wrong = materialize(collided(docs, groups.select(*KEY).distinct()), "wrong")
+    joint = members.select("batch", "home", *KEY).join(groups, ["home", *KEY]).drop("home")
+    joint = materialize(joint, "joint")
+    held = rows
+    regrouped = None
+    if not wrong.isEmpty():
+        held, regrouped = rows.join(wrong, KEY, "left_anti"), by_bytes(docs, wrong)
+    whole = held.join(joint, ["batch", *KEY], "left").select("doc_id", "keep_id", "group_size", "digest")
+    whole = whole.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+    if regrouped is not None:
+        whole = whole.unionByName(regrouped)
+    return whole.select(
         "doc_id",
-        keep.alias("keep_id"),
+        "keep_id",
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinmatch.llm import exact_dedup, near_dedup
 from kinmatch.llm.components import connected_components
@@ -39,6 +40,29 @@ def test_exact_rows(spark, batches):
     assert rows_of(out, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == plain_exact(ROWS)
 
 
+def exact_result(spark):
+    return rows_of(exact_dedup.exact_dedup(documents(spark, ROWS), 2), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def test_exact_groups_join_through_the_filters_only(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.Snapshot, "screen", lambda self, groups: groups.withColumn("maybe", F.lit(False)))
+    assert exact_result(spark) != plain_exact(ROWS)
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_exact_collisions_are_told_apart_by_bytes(spark, monkeypatch, every):
+    plain = exact_dedup.digests
+
+    def weak(docs, *more):
+        same = {"second": F.lit(0).cast("long"), "n_bytes": F.lit(1)}
+        if every:
+            same["digest"] = F.unhex(F.lit("00" * 32))
+        return plain(docs, *more).withColumns(same)
+
+    monkeypatch.setattr(exact_dedup, "digests", weak)
+    assert [r[:4] for r in exact_result(spark)] == [r[:4] for r in plain_exact(ROWS)]
+
+
 def test_exact_empty(spark):
     assert exact_dedup.exact_dedup(documents(spark, ROWS).limit(0)).count() == 0
 
