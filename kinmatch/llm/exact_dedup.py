@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import SPACE_CLASS, materialize, table
+from kinmatch.llm.common import SPACE_CLASS, materialize, small, table
 from kinmatch.llm.fuse import BinaryFuse8
 
 #: Digests in a filter shard: what one task builds and holds at a time.
@@ -112,8 +112,12 @@ def ingest(batch: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
 
 
 def collided(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of the ``wanted`` keys those that stand for texts of different bytes."""
-    texts = digests(docs, "norm").join(wanted, KEY)
+    """Of the ``wanted`` keys those that stand for texts of different bytes.
+
+    The scan keeps only texts of wanted keys, as long as these are few enough to broadcast their second digests.
+    """
+    seconds = small(materialize(wanted.select("second").distinct(), "seconds"))
+    texts = digests(docs, "norm").join(seconds, "second", "left_semi")
     return texts.groupBy(*KEY).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi").select(*KEY)
 
 
