@@ -2,7 +2,7 @@
 
 Every operator writes its intermediate tables below the folder that the
 cluster names in ``spark.checkpoint.dir``; a folder of our own is used only
-where that setting is absent (tests, notebooks).
+where that setting is absent and the master is local (tests, notebooks).
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         where = getattr(shared_dir, "own", None)
         if where is None:
             where = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='kinmatch-')}"
@@ -76,6 +78,37 @@ def release(*frames: DataFrame) -> None:
             remove_path(df.sparkSession, path)
 
 
+#: Most narrow rows that are broadcast after they are counted (a key of two or three numbers: at most about 100 MB).
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written narrow table, marked for broadcast if its count allows it; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def match_nulls(left: DataFrame, right: DataFrame, columns: dict[str, str]):
+    """Equality of ``left``'s columns with ``right``'s, nulls being equal to each other."""
+    out = None
+    for a, b in columns.items():
+        same = left[a].eqNullSafe(right[b])
+        out = same if out is None else out & same
+    return out
+
+
+def text_key(column: str = "text") -> list:
+    """Two hashes, t0 and t1, that tell the rows of one doc_id apart by their text."""
+    return [F.xxhash64(column).alias("t0"), F.xxhash64(F.lit(1), column).alias("t1")]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_bucket(column: str, buckets: int):
     """``crc32(doc_id as text) mod buckets``; null ids fall in no bucket (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % buckets

@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.common import crc_bucket
 
-#: Longer texts are scored like any other but not learned from, so that a sample fits the driver.
+#: A longer text is learned from by so many evenly spaced blocks of this many characters in all, so that a sample fits the driver.
 LONGEST_SAMPLE_CHARS = 50_000
+SAMPLE_BLOCKS = 10
+
+
+def sampled_text(column: str = "text"):
+    """A text to learn from: the whole, or blocks from its beginning to its end."""
+    size = LONGEST_SAMPLE_CHARS // SAMPLE_BLOCKS
+    room = F.length(column) - size
+    cut = [F.substr(F.col(column), (F.floor(room * i / (SAMPLE_BLOCKS - 1)) + 1).cast("int"), F.lit(size)) for i in range(SAMPLE_BLOCKS)]
+    return F.when(F.length(column) <= LONGEST_SAMPLE_CHARS, F.col(column)).otherwise(F.concat_ws("\n", *cut))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, buckets: int, held_out: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) of either label outside the held-out bucket, the same ones each time.
+    """At most ``per_class`` ids of either label outside the held-out bucket, the same ones each time, as (text, label).
 
-    Null labels and null ids are left out; of contradicting labels the larger counts.
+    Null labels, null ids and null texts are left out; of contradicting labels the larger counts. Where ids repeat, the
+    sample has at most ``4 * per_class`` rows.
     """
     known = labels.filter(F.col(column).isin(0, 1) & (crc_bucket("doc_id", buckets) != held_out)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     picks = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picks = part if picks is None else picks.unionByName(part)
-    fits = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST_SAMPLE_CHARS)
-    rows = fits.join(F.broadcast(picks), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(4 * per_class).select("text", "y").collect()
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picks), "doc_id")
+    rows = texts.orderBy(F.xxhash64("doc_id", "text")).limit(4 * per_class).select(sampled_text().alias("text"), "y").collect()
     return [(r["text"], r["y"]) for r in rows]
 
 

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import crc_bucket, encoded, table
+from kinmatch.llm.labelled import sampled_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: About so many texts of each language are learned from, picked by hash; longer texts than the second bound are not.
+#: About so many texts of each language are learned from, picked by hash; twice as many in all is the bound where ids repeat.
 PER_LANGUAGE = 600
-LONGEST_SAMPLE_CHARS = 50_000
 MAX_LANGUAGES = 500
 TRAIN_STEPS = 700
 BUCKETS, HELD_OUT = 5, 0
@@ -170,7 +170,7 @@ def fit(rows: list[tuple[str, str]], steps: int = TRAIN_STEPS, seed: int = 7) ->
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
     """Fit on about ``per_language`` texts of each language outside the held-out bucket, picked by hash."""
-    known = docs.filter(F.col("lang").isNotNull() & (crc_bucket("doc_id", BUCKETS) != HELD_OUT) & (F.length("text") <= LONGEST_SAMPLE_CHARS))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id", BUCKETS) != HELD_OUT))
     counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -178,7 +178,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn | None:
         return None
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
-    rows = known.filter(draw < share[F.col("lang")]).orderBy(F.xxhash64("doc_id", "text")).limit(2 * per_language * len(counts)).select("text", "lang").collect()
+    rows = known.filter(draw < share[F.col("lang")]).orderBy(F.xxhash64("doc_id", "text")).limit(2 * per_language * len(counts)).select(sampled_text().alias("text"), "lang").collect()
     return fit([(r["text"], r["lang"]) for r in rows]) if rows else None
 
 

@@ -65,8 +65,9 @@ def test_all_passages_of_a_pair(spark):
     assert (got["doc_start"], got["item_start"], got["overlap"], got["matched"]) == (40, 35, 25, 25)
 
 
-def test_blocks_cover_all_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+def test_a_full_screen_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8)  # every bit is set: all seeds reach the join
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 8)
     items = [(i, prose(f"q{i}", 30)) for i in range(12)]
     got = found(spark, [(i, f"{prose(i, 40)} {t} {prose(i + 50, 40)}") for i, t in items], items)
     assert set(got) == {(i, i) for i in range(12)}
@@ -79,36 +80,63 @@ def test_masks_hit_every_pattern():
             assert any(all(c == "0" or t == "0" for c, t in zip(m, text[at:], strict=False)) for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (n, apart)
 
 
+def test_short_masks_hit_every_pattern():
+    for n in range(6, 12):
+        masks = decontaminate.short_masks(n)
+        assert all(len(m) == n and m.count("1") >= 4 for m in masks)
+        for apart in itertools.combinations(range(n), n // 5):
+            assert any(all(m[i] == "0" for i in apart) for m in masks), (n, apart)
+    numbers = [i for n in range(1, 13) for _, i in decontaminate.masks_of(n)]
+    assert len(numbers) == len(set(numbers)) and max(numbers) < 127
+
+
 def plain_overlap(a, b):
-    """Whether some diagonal of two word lists has 12 or more words of which 80 % are equal, from an equal word to an equal word."""
+    """Whether some diagonal of two word lists has 12 or more words of which 80 % are equal, from an equal word to an equal word; of shorter items all words."""
     for d in range(-len(b), len(a)):
+        if len(b) < 12:
+            if 0 <= d <= len(a) - len(b) and 5 * sum(a[i + d] == b[i] for i in range(len(b))) >= 4 * len(b):
+                return True
+            continue
         same = [a[i + d] == b[i] for i in range(len(b)) if 0 <= i + d < len(a)]
         if any(same[i] and same[j - 1] and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + 12, len(same) + 1)):
             return True
     return False
 
 
+def searched(text, item):
+    """What the join finds, for one text and one item, in plain Python."""
+    hashes = lambda words: decontaminate.word_hashes([" ".join(words).encode()], decontaminate.ALNUM_BYTES)
+    (h, bounds), (words, _) = hashes(text), hashes(item)
+    places = {}
+    for s, at in zip(*(x.tolist() for x in decontaminate.item_seeds(words)), strict=True):
+        places.setdefault(s, []).append(at)
+    seeds, _, ats = decontaminate.text_seeds(h, bounds, [words.size] if words.size < 12 else [])
+    diagonals = {p - q for s, p in zip(seeds.tolist(), ats.tolist(), strict=True) for q in places.get(s, ())}
+    lines = ((h[max(0, d) : d + words.size], words[max(0, -d) : h.size - d]) for d in diagonals)
+    return any(decontaminate.segments(a == b, h.size, words.size) for a, b in lines)
+
+
 def test_recall_under_substitution():
     rng, missed, leaks = random.Random(7), [], 0
     cases = [(n, range(at, n, 5)) for n in (15, 20, 40, 60) for at in range(5)]  # every fifth word
+    cases += [(n, apart) for n in range(6, 12) for k in (0, 1, 2) for apart in itertools.combinations(range(n), k)]
     cases += [(n, rng.sample(range(n), round(n * share))) for n in (12, 13, 15, 16, 20, 30, 45) for share in (0.1, 0.15, 0.2, 0.25) for _ in range(12)]
     for k, (n, apart) in enumerate(cases):
         item = [f"w{k}x{i}" for i in range(n)]
         passage = ["swap" if i in apart else w for i, w in enumerate(item)]
         text = [f"a{i}" for i in range(15)] + passage + [f"z{i}" for i in range(15)]
-        index = decontaminate.SeedIndex([1], [" ".join(item)])
-        h, bounds = decontaminate.word_hashes([" ".join(text).encode()], decontaminate.ALNUM_BYTES)
-        got = any(index.verify(h, i, d) for (_, i), diagonals in index.hits(h, bounds).items() for d in diagonals)
+        got = searched(text, item)
         want = plain_overlap(text, item)
         leaks += want
         missed += [(n, sorted(apart))] if got != want else []
     assert leaks > 200 and not missed
 
 
-def test_removal_keeps_columns(spark):
-    docs = documents(spark, [(1, leaky(spark)), (2, prose(3)), (None, prose(4))])
+def test_removal_judges_each_row(spark):
+    docs = documents(spark, [(1, leaky(spark)), (1, prose(8)), (2, prose(3)), (None, prose(4)), (None, leaky(spark)), (3, None)])
     left = decontaminate.remove_leaks(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string"))
-    assert left.columns == docs.columns and rows_of(left, "doc_id") == [(2,), (None,)]
+    assert left.columns == docs.columns
+    assert rows_of(left, "doc_id", "text") == sorted([(1, prose(8)), (2, prose(3)), (3, None), (None, prose(4))], key=str)
     assert decontaminate.remove_leaks(docs.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
@@ -195,6 +223,9 @@ def test_archives_round_trip(spark):
     folder = scratch_path(spark, "t")
     index = warc.write_archives(pages(spark, rows), folder)
     got = warc.read_archives(index, folder).collect()
+    ranges = warc.frame_ranges(index, 1).select("bundle", "first", "last", F.spark_partition_id().alias("part")).collect()
+    frames = index.select("bundle", "frame").distinct().count()
+    assert len({r["part"] for r in ranges}) == len(ranges) == frames > 1 and all(r["first"] == r["last"] for r in ranges)
     want = []
     for i, _, h in rows:
         heads = [j for j, _, g in rows if (g or "") == (h or "") and j is not None]
@@ -209,6 +240,23 @@ def test_archives_round_trip(spark):
     assert fields["X-Page-ID"] == "5" and body == big.encode()
 
 
+def test_reading_uses_all_cores(spark):
+    rows = [(i, "u", f"<p>{prose(i, 4000)}</p>") for i in range(200)]
+    folder = scratch_path(spark, "t")
+    index = warc.write_archives(pages(spark, rows).coalesce(1), folder)
+    assert index.select("bundle").distinct().count() == 1
+    read = warc.read_archives(index, folder, payloads=False).withColumn("part", F.spark_partition_id())
+    assert read.select("part").distinct().count() >= spark.sparkContext.defaultParallelism
+    assert rows_of(read, "page_id") == sorted(((i,) for i, _, _ in rows), key=str)
+
+
+def test_small_payloads_are_all_responses(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (3, "u", "same and longer"), (4, "u", "same and longer")]
+    folder = scratch_path(spark, "t")
+    got = warc.read_archives(warc.write_archives(pages(spark, rows), folder, least_revisit=5), folder)
+    assert rows_of(got, "page_id", "record_type", "refers_to") == [(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
+
+
 def test_archives_of_nothing(spark):
     folder = scratch_path(spark, "t")
     index = warc.write_archives(pages(spark, [(1, "u", "h")]).limit(0), folder)
