@@ -39,6 +39,9 @@ from kinmatch.llm.common import encoded, materialize, scratch_path, table
 LEAST_REVISIT = 0
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
+#: Record bytes that one task reads back at a time, as whole frames.
+READ_BYTES = 64 << 20
+MOST_READERS = 100_000
 LEVEL = 3
 
 # Fixed values of the seekable format and of the revisit profile.
@@ -201,8 +204,9 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = LEAST_REV
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _rows(bundle: BundleReader) -> Iterator[tuple]:
-    for number in range(len(bundle.sizes)):
+def _rows(bundle: BundleReader, first: int, last: int) -> Iterator[tuple]:
+    """The records of the frames from ``first`` to ``last``."""
+    for number in range(first, last + 1):
         data, at = bundle.frame(number), 0
         while at < len(data):
             f, body, at = parse_record(data, at)
@@ -220,11 +224,11 @@ def _reader(folder: str, payloads: bool):
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as file:
                     rows: list[tuple] = []
                     held = 0
-                    for row in _rows(BundleReader(file, file.size())):
+                    for row in _rows(BundleReader(file, file.size()), first, last):
                         rows.append(row if payloads else (*row[:-1], None))
                         held += len(row[-1] or b"") if payloads else 1
                         if held > (4 << 20) or len(rows) >= 10_000:
@@ -236,10 +240,27 @@ def _reader(folder: str, payloads: bool):
     return run
 
 
+def frame_ranges(index: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """(bundle, first, last): ranges of whole frames of about ``read_bytes``, dealt evenly over explicit partitions.
+
+    Each bundle gives as many ranges of equally many frames as its records fill, and each core has several where there are enough frames.
+    """
+    spark = index.sparkSession
+    bundles = index.groupBy("bundle").agg((F.max("frame") + 1).alias("frames"), F.sum("length").alias("bytes"))
+    total = bundles.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
+    aim = max(1, min(read_bytes, total // (4 * spark.sparkContext.defaultParallelism)))
+    per = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("frames") * F.lit(float(aim)) / F.col("bytes")).cast("long"))
+    cut = bundles.withColumn("per", per).select("bundle", "frames", "per", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.col("per"))).alias("first"))
+    ranges = materialize(cut.select("bundle", "first", F.least(F.col("first") + F.col("per"), F.col("frames")).alias("end")).select("bundle", "first", (F.col("end") - 1).alias("last")), "frames")
+    return ranges.repartition(max(1, min(ranges.count(), MOST_READERS)))
+
+
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that a committed index names; payloads are checked against their digests."""
-    files = index.select("bundle").distinct()
-    return files.mapInArrow(_reader(folder, payloads), RECORDS)
+    """All records of the bundles that a committed index names; payloads are checked against their digests.
+
+    A task finds its frames by the seek table and decompresses no others.
+    """
+    return frame_ranges(index).mapInArrow(_reader(folder, payloads), RECORDS)
 
 
 def fetch(index_rows: list[tuple[str, int, int]], folder: str) -> list[tuple[dict[str, str], bytes]]:
