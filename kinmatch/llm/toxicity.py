@@ -1,14 +1,19 @@
-"""Toxicity scores from a bidirectional gated recurrent network over word and character evidence.
-
-Every word enters the network as a short vector: the label evidence of the
-word itself, of its leading characters, and the strongest evidence among its
-character n-grams, each a shrunken log-odds learned from labelled texts. A
-bidirectional GRU reads windows of ``WINDOW`` words, attention pools its
-states, and a logistic unit scores the window. All overlapping windows of the
-whole text are scored; the strongest window and the length of the text give
-the calibrated document score. Evidence, network and calibration are trained
-in numpy; for the training texts their own counts are taken out of the
-evidence, so the network sees it as it will be for unseen texts.
+"""Toxicity scores from a bidirectional gated recurrent network over word and character inputs.
+
+Every word enters the network as the sum of learned vectors: one of the word
+itself, those of its leading characters, and the mean of those of its character
+n-grams. A bidirectional GRU runs over the words of the whole text, in pieces
+that overlap so that each word has its context on both sides, and attention
+pools its states over windows of ``WINDOW`` words. All overlapping windows are
+scored, one from each word on; the strongest window and the number of windows
+give the calibrated document score.
+
+Vectors, GRU, attention and the window's logistic unit are trained together in
+numpy, from windows of labelled texts. Which window of a toxic text is the
+toxic one is not labelled: training takes the one whose words occur most in
+toxic texts, and from the third round on also the one that the network itself
+finds strongest. That is all that counts of words in labelled texts serve.
+The score is calibrated on labelled texts that the network has not seen.
 
 Defined results: null and empty texts, and texts without words, get the score
 of a text whose strongest window is empty; equal texts get equal scores;
@@ -18,6 +23,7 @@ without labels); other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,153 +35,129 @@ from pyspark.sql import functions as F
 from kinmatch.llm.common import ALNUM_BYTES, crc_bucket, mix, table, text_slices, word_hashes
 from kinmatch.llm.labelled import fit_logistic, labelled_sample, logistic
 
-WINDOW, STRIDE = 32, 16
-HIDDEN, ATTENTION = 8, 8
+WINDOW = 32
+#: Words of context that a state has on either side at least, and words of a piece between them.
+MARGIN, PIECE = 16, 96
+SIZE, HIDDEN, ATTENTION = 12, 8, 8
 #: Labelled texts of each class that the model is fitted on.
 PER_CLASS = 1200
 THRESHOLD = 0.3
 BUCKETS, HELD_OUT = 4, 2
-EPOCHS = 12
-
-#: Character evidence: (kind, length in bytes). Leading characters of a word, or anywhere in it.
-GRAMS = (("lead", 4), ("lead", 5), ("lead", 6), ("any", 4), ("any", 5), ("any", 6))
-FEATURES = 1 + len(GRAMS)
-_BITS = 20
+EPOCHS, LEAST_STEPS, BATCH = 12, 150, 128
+#: One in so many labelled texts is kept for the calibration.
+CALIBRATE = 4
+#: Share of word vectors that a training step leaves out, so that the characters carry unseen words too.
+WORD_DROPOUT = 0.5
+#: Share of the squared gradient of all vectors that scales the step of each.
+VECTOR_SCALE = 0.02
+
+#: Character inputs in bytes: leading characters of a word, and n-grams anywhere in it.
+LEADS = (3, 4, 5, 6, 7, 8)
+GRAM = 4
+#: Labelled texts that an input must occur in to get a vector.
+LEAST_TEXTS = 3
+_CELLS = 20
 _U = np.uint64
-#: Texts that the evidence of an entry must rest on, and log-odds it must reach, to be kept.
-LEAST_TEXTS, LEAST_EVIDENCE, SHRINK = 3, 0.5, 6.0
 
 
 def folded(values) -> list[bytes]:
     return [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in values]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0)
+
+
 @dataclass
-class Units:
-    """Hashed words and character n-grams of a batch of texts."""
+class Words:
+    """The words of a batch of texts: which distinct word each is, and the inputs of each distinct one."""
 
-    words: np.ndarray
     bounds: np.ndarray
-    grams: list[tuple[np.ndarray, np.ndarray]]  # for each of GRAMS: (word number, hash)
+    of: np.ndarray  # distinct word of every word
+    inputs: np.ndarray  # hashes, those of a distinct word together: the word, its leads, its n-grams
+    starts: np.ndarray  # where the inputs of each distinct word begin, one more at the end
+    weight: np.ndarray
 
     @staticmethod
-    def of(texts: list[bytes]) -> Units:
-        words, bounds = word_hashes(texts, ALNUM_BYTES)
-        buffer = ALNUM_BYTES[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)].astype(np.uint64)
-        inside = buffer != 0
-        first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-        number = np.cumsum(np.concatenate([[0], np.diff(inside.view(np.int8)) == 1])) + int(inside[0]) - 1
-        # bytes left in the word from each position
-        stops = np.flatnonzero(~inside)
-        room = stops[np.searchsorted(stops, np.arange(buffer.size))] - np.arange(buffer.size)
-        grams, rolled = [], np.zeros(buffer.size, np.uint64)
-        hashes: dict[int, np.ndarray] = {}
-        for n in range(1, max(g[1] for g in GRAMS) + 1):
-            step = np.zeros(buffer.size, np.uint64)
+    def split(texts: list[bytes]) -> Words:
+        hashes, bounds = word_hashes(texts, ALNUM_BYTES)
+        buffer = ALNUM_BYTES[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)].astype(_U)
+        edge = np.flatnonzero(np.diff((buffer != 0).view(np.int8), prepend=0, append=0))
+        begin, length = edge[::2], edge[1::2] - edge[::2]
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        begin, length = begin[first], length[first]
+        rolled, parts = np.zeros(buffer.size, _U), [(np.arange(distinct.size), distinct, np.ones(distinct.size))]
+        for n in range(1, max(*LEADS, GRAM) + 1):
+            step = np.zeros(buffer.size, _U)
             step[: max(0, buffer.size - n + 1)] = buffer[n - 1 :]
             rolled = rolled * _U(0x100000001B3) + step + _U(n)
-            hashes[n] = rolled
-        for kind, n in GRAMS:
-            if kind == "lead":
-                at = first[room[first] >= n]
-                grams.append((number[at], mix(hashes[n][at] ^ _U(0x5EAD << 32))))
-            else:
-                at = np.flatnonzero(room >= n)
-                grams.append((number[at], mix(hashes[n][at])))
-        # the lowest bit is left free for a label
-        return Units(words & ~_U(1), bounds, [(at, h & ~_U(1)) for at, h in grams])
-
-    def kinds(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(np.arange(self.words.size), self.words), *self.grams]
-
-
-class Evidence:
-    """A table from hashes to log-odds; the check bits make false finds negligible."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, counts: np.ndarray | None = None):
-        order = np.argsort(values, kind="stable")  # of two keys in one cell the stronger stays
-        keys, values = keys[order], values[order]
-        cell = (keys >> _U(64 - _BITS)).astype(np.int64)
-        self.check = np.zeros(1 << _BITS, np.uint32)
-        self.value = np.zeros(1 << _BITS, np.float32)
-        self.check[cell] = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        self.value[cell] = values
-        self.counts = None
-        if counts is not None:
-            self.counts = np.zeros((1 << _BITS, 2), np.float32)
-            self.counts[cell] = counts[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the keys that the table has, and their cells."""
-        cell = (keys >> _U(64 - _BITS)).astype(np.int64)
-        hit = np.flatnonzero((self.check[cell] == (keys & _U(0xFFFFFFFF)).astype(np.uint32)) & (self.value[cell] > 0))
-        return hit, cell[hit]
-
-
-def log_odds(positive: np.ndarray, total: np.ndarray, prior: float) -> np.ndarray:
-    p = (positive + SHRINK * prior) / (total + SHRINK)
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p)) - np.log(prior / (1 - prior))
-
-
-def learn_evidence(rows: list[tuple[bytes, int]]) -> list[Evidence]:
-    """Evidence of all units of the labelled texts; a unit counts once a text.
-
-    Only each text's distinct hashes are held, with the label in the bit that
-    hashes leave free, and one kind of unit is sorted and counted at a time.
-    """
-    prior = float(np.clip(np.mean([y for _, y in rows]), 0.02, 0.98))
-    held: list[list[np.ndarray]] = [[] for _ in range(FEATURES)]
-    for text, y in rows:
-        for kind, (_, keys) in enumerate(Units.of([text]).kinds()):
-            held[kind].append(np.unique(keys) | _U(y))
-    tables = []
-    for kind in range(FEATURES):
-        keys = np.concatenate(held[kind])
-        held[kind] = []
-        keys.sort()
-        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] | _U(1)) != (keys[:-1] | _U(1))])) if keys.size else np.empty(0, np.int64)
-        total = np.diff(np.concatenate([starts, [keys.size]]))
-        often = np.flatnonzero(total >= LEAST_TEXTS)
-        starts, total = starts[often], total[often]
-        ends = np.concatenate([[0], np.cumsum(keys & _U(1), dtype=np.int64)])
-        positive = ends[starts + total] - ends[starts]
-        value = log_odds(positive, total, prior)
-        keep = value >= LEAST_EVIDENCE
-        tables.append(Evidence(keys[starts[keep]] & ~_U(1), value[keep], np.stack([positive[keep], total[keep]], 1)))
-    return tables
-
-
-def word_vectors(units: Units, tables: list[Evidence], own: int | None = None, prior: float = 0.5) -> np.ndarray:
-    """(words, FEATURES); ``own`` is the label of the single text whose counts are to be taken out."""
-    x = np.zeros((units.words.size, FEATURES), np.float32)
-    for kind, ((number, keys), t) in enumerate(zip(units.kinds(), tables, strict=True)):
-        hit, cell = t.find(keys)
-        if not hit.size:
-            continue
-        value = t.value[cell]
-        if own is not None:
-            value = np.maximum(log_odds(t.counts[cell, 0] - own, t.counts[cell, 1] - 1, prior), 0).astype(np.float32)
-        column = x[:, kind]
-        np.maximum.at(column, number[hit], value)
-    return x
-
-
-def windows_of(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All overlapping windows (n, WINDOW, FEATURES + 1) of the texts, their first window, and which hold evidence.
-
-    The last feature is 1 for a word and 0 for padding. Each text has at least one window.
-    """
-    count = np.diff(bounds)
-    per = np.maximum(1, -(-np.maximum(count - WINDOW, 0) // STRIDE) + 1)
-    first = np.concatenate([[0], np.cumsum(per)])
-    text = np.repeat(np.arange(count.size), per)
-    start = bounds[text] + (np.arange(first[-1]) - first[text]) * STRIDE
-    at = start[:, None] + np.arange(WINDOW)
-    real = at < bounds[text + 1][:, None]
-    padded = np.concatenate([np.column_stack([x, np.ones(len(x), np.float32)]), np.zeros((1, FEATURES + 1), np.float32)])
-    w = padded[np.where(real, at, len(x))]
-    return w, first, text
+            if n in LEADS:
+                has = np.flatnonzero(length >= n)
+                parts.append((has, mix(rolled[begin[has]] ^ _U(0x5EAD << 32)), np.ones(has.size)))
+            if n == GRAM:
+                has = np.flatnonzero(length >= n)
+                count = length[has] - n + 1
+                parts.append((np.repeat(has, count), mix(rolled[_ranges(begin[has], count)]), np.repeat(1.0 / np.maximum(count, 1), count)))
+        word, inputs, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=distinct.size))])
+        return Words(bounds, of.astype(np.int64), inputs[order], starts.astype(np.int64), weight[order].astype(np.float32))
+
+
+class Lexicon:
+    """The inputs that have a vector, found by one look into a table of cells."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.cells = np.full(1 << _CELLS, -1, np.int32)
+        self.cells[(keys >> _U(64 - _CELLS)).astype(np.int64)] = np.arange(keys.size)
+
+    def __getstate__(self):
+        return self.keys
+
+    def __setstate__(self, keys):
+        self.__init__(keys)
+
+    @staticmethod
+    def learn(texts: list[Words]) -> tuple[Lexicon, np.ndarray]:
+        """Inputs of enough texts, and in how many each occurs; of two inputs in one cell the more frequent stays."""
+        every = np.concatenate([np.unique(w.inputs) for w in texts] or [np.empty(0, _U)])
+        keys, count = np.unique(every, return_counts=True)
+        often = count >= LEAST_TEXTS
+        keys, count = keys[often], count[often]
+        order = np.lexsort((keys, -count))
+        cell = (keys[order] >> _U(64 - _CELLS)).astype(np.int64)
+        stay = np.sort(order[np.unique(cell, return_index=True)[1]])
+        return Lexicon(keys[stay]), count[stay]
+
+    def find(self, inputs: np.ndarray) -> np.ndarray:
+        """The number of each input's vector, ``len(keys)`` without one."""
+        n = self.keys.size
+        if not n:
+            return np.zeros(inputs.size, np.int64)
+        at = self.cells[(inputs >> _U(64 - _CELLS)).astype(np.int64)].astype(np.int64)
+        return np.where((at >= 0) & (self.keys[at] == inputs), at, n)
+
+
+def word_sums(values: np.ndarray, words: Words) -> np.ndarray:
+    """Sums of the rows of ``values`` that belong to each distinct word."""
+    if not values.size:
+        return np.zeros((0, values.shape[1]), np.float32)
+    return np.add.reduceat(values, words.starts[:-1], axis=0)  # every word has an input, itself
+
+
+def scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by row number."""
+    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], 1).astype(np.float32)
+
+
+def placed(bounds: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Word numbers (n, length) from word ``start`` of each text on, the last number of all where the text has none."""
+    at = start[:, None] + np.arange(length)
+    inside = (at >= 0) & (at < np.diff(bounds)[text][:, None])
+    return np.where(inside, bounds[text][:, None] + at, bounds[-1])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -184,53 +166,59 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Weights of the two GRU directions, the attention, and the window's logistic unit."""
+    """Vectors of the inputs, weights of the two GRU directions, the attention, and the window's logistic unit."""
 
     params: dict[str, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
-    def fresh(seed: int = 11) -> Network:
+    def fresh(inputs: int, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[0])).astype(np.float32)
-        p = {}
+        p = {"E": np.zeros((inputs + 1, SIZE), np.float32)}  # the last row, of what has no vector, stays zero
         for d in "fb":
-            p[f"W{d}"], p[f"U{d}"] = draw(FEATURES + 1, 3 * HIDDEN) * 0.5, draw(HIDDEN, 3 * HIDDEN)
+            p[f"W{d}"], p[f"U{d}"] = draw(SIZE + 1, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN)
             p[f"c{d}"] = np.zeros(3 * HIDDEN, np.float32)
         p["A"], p["v"] = draw(2 * HIDDEN, ATTENTION), draw(ATTENTION)
         p["o"], p["z"] = draw(2 * HIDDEN), np.zeros(1, np.float32)
         return Network(p)
 
     def _direction(self, x: np.ndarray, d: str, keep: bool):
-        p, n = self.params, HIDDEN
+        """States (n, length, HIDDEN); the last input is 1 for a word and 0 for padding, which leaves the state as it is."""
+        p, n, length = self.params, HIDDEN, x.shape[1]
         gates = x @ p[f"W{d}"] + p[f"c{d}"]
-        h = np.zeros((len(x), n), np.float32)
-        states, tape = np.empty((len(x), WINDOW, n), np.float32), []
-        for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+        real = x[:, :, -1:]
+        h = np.zeros((len(x), n), x.dtype)
+        states, tape = np.empty((len(x), length, n), x.dtype), []
+        for t in range(length) if d == "f" else range(length - 1, -1, -1):
             g, r = gates[:, t], h @ p[f"U{d}"]
             zr = _sigmoid(g[:, : 2 * n] + r[:, : 2 * n])
             update, reset = zr[:, :n], zr[:, n:]
             new = np.tanh(g[:, 2 * n :] + reset * r[:, 2 * n :])
-            after = h + update * (new - h)
+            after = h + real[:, t] * update * (new - h)
             if keep:
                 tape.append((t, h, update, reset, new, r[:, 2 * n :]))
             states[:, t] = h = after
         return states, tape
 
-    def forward(self, x: np.ndarray, keep: bool = False):
-        p = self.params
+    def states(self, x: np.ndarray, keep: bool = False):
         (sf, tf), (sb, tb) = self._direction(x, "f", keep), self._direction(x, "b", keep)
-        s = np.concatenate([sf, sb], 2)
+        return np.concatenate([sf, sb], 2), tf, tb
+
+    def forward(self, x: np.ndarray, pool: np.ndarray, keep: bool = False):
+        """Logits of windows: ``x`` (n, length, SIZE + 1) with context, ``pool`` (n, length) 1 for the words of the window."""
+        p = self.params
+        s, tf, tb = self.states(x, keep)
         a = np.tanh(s @ p["A"])
-        e = a @ p["v"] + np.where(x[:, :, -1] > 0, 0, -30).astype(np.float32)
-        w = np.exp(e - e.max(1, keepdims=True))
-        w /= w.sum(1, keepdims=True)
+        w = np.exp(a @ p["v"]) * pool
+        w = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
         pooled = np.einsum("nt,nth->nh", w, s)
-        return pooled @ p["o"] + p["z"][0], (x, s, a, w, pooled, tf, tb)
+        return pooled @ p["o"] + p["z"][0], (x, s, a, w, tf, tb, pooled)
 
-    def gradients(self, dlogit: np.ndarray, cache) -> dict[str, np.ndarray]:
+    def gradients(self, dlogit: np.ndarray, cache) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of all weights but the vectors, and of ``x``."""
         p, n = self.params, HIDDEN
-        x, s, a, w, pooled, tf, tb = cache
-        g = {"o": pooled.T @ dlogit, "z": np.array([dlogit.sum()], np.float32)}
+        x, s, a, w, tf, tb, pooled = cache
+        g = {"o": pooled.T @ dlogit, "z": np.array([dlogit.sum()])}
         dpool = dlogit[:, None] * p["o"]
         dw = np.einsum("nh,nth->nt", dpool, s)
         de = w * (dw - (w * dw).sum(1, keepdims=True))
@@ -238,63 +226,200 @@ class Network:
         da = de[:, :, None] * p["v"] * (1 - a * a)
         g["A"] = np.einsum("nth,nta->ha", s, da)
         ds = w[:, :, None] * dpool[:, None] + da @ p["A"].T
+        dx = np.zeros_like(x)
+        real = x[:, :, -1:]
         for d, tape, part in (("f", tf, ds[:, :, :n]), ("b", tb, ds[:, :, n:])):
-            gw, gu, gc = np.zeros_like(p[f"W{d}"]), np.zeros_like(p[f"U{d}"]), np.zeros_like(p[f"c{d}"])
-            dh = np.zeros((len(x), n), np.float32)
+            gu, dh = np.zeros_like(p[f"U{d}"]), np.zeros((len(x), n), x.dtype)
+            dgates = np.empty((*x.shape[:2], 3 * n), x.dtype)
             for t, h, update, reset, new, rn in reversed(tape):
                 dh = dh + part[:, t]
-                dnew = dh * update * (1 - new * new)
-                dupdate = dh * (new - h) * update * (1 - update)
+                m = real[:, t]
+                dnew = dh * m * update * (1 - new * new)
+                dupdate = dh * m * (new - h) * update * (1 - update)
                 dreset = dnew * rn * reset * (1 - reset)
-                dgate = np.concatenate([dupdate, dreset, dnew], 1)
+                dgates[:, t] = np.concatenate([dupdate, dreset, dnew], 1)
                 drec = np.concatenate([dupdate, dreset, dnew * reset], 1)
-                gw += x[:, t].T @ dgate
                 gu += h.T @ drec
-                gc += dgate.sum(0)
-                dh = dh * (1 - update) + drec @ p[f"U{d}"].T
-            g[f"W{d}"], g[f"U{d}"], g[f"c{d}"] = gw, gu, gc
-        return g
-
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        m1 = {k: np.zeros_like(v) for k, v in self.params.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.params.items()}
-        step, size = 0, 256
-        for epoch in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), size):
-                pick = order[at : at + size]
-                logit, cache = self.forward(x[pick], keep=True)
-                d = ((logistic(logit) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-                step += 1
-                rate = 0.02 * (1 - epoch / (epochs + 1))
-                for k, g in self.gradients(d, cache).items():
-                    m1[k] += 0.1 * (g - m1[k])
-                    m2[k] += 0.01 * (g * g - m2[k])
-                    self.params[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-
-    def scores(self, w: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(w[i : i + 1024])[0] for i in range(0, len(w), 1024)])
+                dh = dh * (1 - m * update) + drec @ p[f"U{d}"].T
+            flat = dgates.reshape(-1, 3 * n)
+            g[f"W{d}"], g[f"U{d}"], g[f"c{d}"] = x.reshape(-1, x.shape[2]).T @ flat, gu, flat.sum(0)
+            dx += dgates @ p[f"W{d}"].T
+        return g, dx
+
+    def text_windows(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all overlapping windows of the texts, and where each text's begin; a text has one at least.
+
+        ``x`` has a row for each word and a last one of zeros.
+        """
+        count = np.diff(bounds)
+        pieces = -(-count // PIECE)
+        text = np.repeat(np.arange(count.size), pieces)
+        start = _ranges(np.zeros(count.size, np.int64), pieces) * PIECE
+        weight, value = np.zeros(len(x)), np.zeros(len(x))
+        p = self.params
+        for i in range(0, text.size, 512):
+            at = placed(bounds, text[i : i + 512], start[i : i + 512] - MARGIN, PIECE + 2 * MARGIN)
+            s = self.states(x[at])[0][:, MARGIN:-MARGIN]
+            at = at[:, MARGIN:-MARGIN]
+            weight[at] = np.exp(np.tanh(s @ p["A"]) @ p["v"])
+            value[at] = s @ p["o"]
+        weight[-1] = 0.0
+        # texts side by side, short ones filled up to a window; sums of 1, 2, 4 ... 32 neighbours without cancellation
+        room = np.maximum(count, WINDOW)
+        at = placed_flat(bounds, room)
+        w, v = weight[at], (weight * value)[at]
+        step = 1
+        while step < WINDOW:
+            w, v = w[:-step] + w[step:], v[:-step] + v[step:]
+            step *= 2
+        begins = np.concatenate([[0], np.cumsum(room)])
+        per = room - WINDOW + 1
+        those = _ranges(begins[:-1], per)
+        return v[those] / np.maximum(w[those], 1e-12) + p["z"][0], np.concatenate([[0], np.cumsum(per)])
+
+
+def placed_flat(bounds: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Word numbers of all texts side by side, ``room`` of each, the last number of all where a text has none."""
+    inner = _ranges(np.zeros(room.size, np.int64), room)
+    text = np.repeat(np.arange(room.size), room)
+    return np.where(inner < np.diff(bounds)[text], bounds[text] + inner, bounds[-1])
 
 
 @dataclass
 class ToxicityModel:
-    tables: list[Evidence]
+    lexicon: Lexicon | None
     network: Network | None
     calibration: np.ndarray
     prior: float
 
-    def document_features(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        w, first, _ = windows_of(x, bounds)
-        logit = self.network.scores(w)
+    def vectors(self, words: Words) -> np.ndarray:
+        """The input of every word with a last 1, and a row of zeros at the end."""
+        found = self.lexicon.find(words.inputs)
+        x = word_sums(self.network.params["E"][found] * words.weight[:, None], words)[words.of]
+        return np.concatenate([np.column_stack([x, np.ones(len(x), np.float32)]), np.zeros((1, SIZE + 1), np.float32)])
+
+    def features(self, words: Words) -> np.ndarray:
+        logit, first = self.network.text_windows(self.vectors(words), words.bounds)
         return np.column_stack([np.maximum.reduceat(logit, first[:-1]), np.log(np.diff(first))])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.network is None:
+        if self.network is None or not texts:
             return np.full(len(texts), self.prior)
-        units = Units.of(texts)
-        f = self.document_features(word_vectors(units, self.tables), units.bounds)
-        return logistic(f @ self.calibration[:-1] + self.calibration[-1])
+        f = self.features(Words.split(texts))
+        # rounded, as the last digits depend on what else is in the batch
+        return np.round(logistic(f @ self.calibration[:-1] + self.calibration[-1]), 6)
+
+
+def evidence(lexicon: Lexicon, count: np.ndarray, texts: list[Words], labels: np.ndarray) -> np.ndarray:
+    """Shrunken log-odds of each input's texts to be toxic; it only picks the windows of the first training rounds."""
+    positive = np.zeros(count.size + 1)
+    for w, y in zip(texts, labels, strict=True):
+        if y:
+            positive[np.unique(lexicon.find(w.inputs))] += 1
+    prior = float(np.clip(labels.mean(), 0.02, 0.98))
+    share = (positive[:-1] + 4 * prior) / (count + 4)
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.append(np.maximum(np.log(share / (1 - share)) - np.log(prior / (1 - prior)), 0), 0).astype(np.float32)
+
+
+def train_network(texts: list[Words], labels: np.ndarray, lexicon: Lexicon, count: np.ndarray, seed: int = 5) -> Network:
+    rng = np.random.default_rng(seed)
+    network = Network.fresh(lexicon.keys.size)
+    model = ToxicityModel(lexicon, network, np.zeros(3), 0.5)
+    strength = evidence(lexicon, count, texts, labels)
+    found = [lexicon.find(w.inputs) for w in texts]
+    likely = np.array([_strongest(w, strength[f]) for w, f in zip(texts, found, strict=True)])
+    best = likely
+    m1 = {k: np.zeros_like(v) for k, v in network.params.items()}
+    m2 = {k: np.zeros_like(v) for k, v in network.params.items()}
+    step = 0
+    span = WINDOW + 2 * MARGIN
+    pool = np.zeros((1, span), np.float32)
+    pool[:, MARGIN:-MARGIN] = 1
+    epochs = max(EPOCHS, LEAST_STEPS // -(-2 * len(texts) // BATCH))
+    for epoch in range(epochs):
+        if epoch >= 2 and epoch % 3 == 2:
+            best = np.array([b for i in range(0, len(texts), 64) for b in _best_windows(model, texts[i : i + 64])])
+        room = np.array([max(1, int(w.bounds[-1]) - WINDOW + 1) for w in texts])
+        # of every text a second window: the likely one of a toxic text, any one of a clean text
+        start = np.concatenate([best, np.where(labels == 1, likely, rng.integers(0, room))])
+        text = np.tile(np.arange(len(texts)), 2)
+        y = labels[text].astype(np.float32)
+        cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        order = rng.permutation(text.size)
+        rate = 0.02 * (1 - epoch / (epochs + 1))
+        for at in range(0, order.size, BATCH):
+            pick = order[at : at + BATCH]
+            x, real, batch = _crops([texts[t] for t in text[pick]], [found[t] for t in text[pick]], start[pick], network, rng, span)
+            logit, cache = network.forward(x, pool * real, keep=True)
+            d = ((logistic(logit) - y[pick]) * cost[pick] / pick.size).astype(np.float32)
+            grads, dx = network.gradients(d, cache)
+            grads["E"] = _vector_gradients(dx, batch, network.params["E"].shape[0])
+            step += 1
+            for k, g in grads.items():
+                m1[k] += 0.1 * (g - m1[k])
+                # one scale for all vectors, not one for each: inputs that few windows hold move little
+                m2[k] += 0.01 * ((g * g if k != "E" else VECTOR_SCALE * np.square(g).sum(0, keepdims=True)) - m2[k])
+                network.params[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return network
+
+
+def _strongest(words: Words, strength: np.ndarray) -> int:
+    """The first word of the window whose words have the most evidence."""
+    n = int(words.bounds[-1])
+    if n <= WINDOW:
+        return 0
+    per = np.maximum.reduceat(strength, words.starts[:-1])[words.of]
+    total = np.concatenate([[0], np.cumsum(per, dtype=np.float64)])
+    return int(np.argmax(np.round(total[WINDOW:] - total[:-WINDOW], 6)))
+
+
+def _best_windows(model: ToxicityModel, texts: list[Words]) -> list[int]:
+    """The first word of each text's strongest window."""
+    x = [model.vectors(w)[:-1] for w in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(v) for v in x])])
+    logit, first = model.network.text_windows(np.concatenate([*x, np.zeros((1, SIZE + 1), np.float32)]), bounds)
+    return [int(logit[a:b].argmax()) for a, b in itertools.pairwise(first.tolist())]
+
+
+def _crops(texts: list[Words], found: list[np.ndarray], start: np.ndarray, network: Network, rng, span: int):
+    """Inputs (n, span, SIZE + 1) of the windows with their context, which places are words, and what the gradients need."""
+    rows, weight, word, places = [], [], [], np.full((len(texts), span), -1)
+    n = 0
+    for i, (w, f, s) in enumerate(zip(texts, found, start.tolist(), strict=True)):
+        lo, hi = max(0, s - MARGIN), min(int(w.bounds[-1]), s - MARGIN + span)
+        if hi <= lo:
+            continue
+        of = w.of[lo:hi]
+        sizes = w.starts[of + 1] - w.starts[of]
+        at = _ranges(w.starts[of], sizes)
+        keep = w.weight[at].copy()
+        keep[np.cumsum(sizes) - sizes] *= rng.random(of.size) >= WORD_DROPOUT
+        rows.append(f[at])
+        weight.append(keep)
+        word.append(np.repeat(np.arange(n, n + of.size), sizes))
+        places[i, lo - (s - MARGIN) : hi - (s - MARGIN)] = np.arange(n, n + of.size)
+        n += of.size
+    x = np.zeros((n + 1, SIZE + 1), np.float32)
+    rows, weight, word = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (rows, weight, word))
+    if n:
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        x[:n, :SIZE] = np.add.reduceat(network.params["E"][rows] * weight[:, None], first, axis=0)
+    x[:n, SIZE] = 1
+    real = (places >= 0).astype(np.float32)
+    return x[places], real, (rows, weight, word, places)
+
+
+def _vector_gradients(dx: np.ndarray, batch, n: int) -> np.ndarray:
+    rows, weight, word, places = batch
+    g = np.zeros((n, SIZE), np.float32)
+    if rows.size:
+        flat = np.empty((int(word[-1]) + 1, SIZE), np.float32)
+        here = places >= 0
+        flat[places[here]] = dx[here][:, :SIZE]
+        g = scattered(rows, flat[word] * weight[:, None], n)
+        g[-1] = 0
+    return g
 
 
 def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityModel:
@@ -303,33 +428,23 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityMode
     share = float(labels.mean()) if rows else 0.0
     prior = share if prior is None else prior
     if min((labels == 0).sum(), (labels == 1).sum()) < 3:
-        return ToxicityModel([], None, np.zeros(3), prior)
-    texts = folded([t for t, _ in rows])
-    tables = learn_evidence(list(zip(texts, labels.tolist(), strict=True)))
-    kept = float(np.clip(labels.mean(), 0.02, 0.98))
-    rng = np.random.default_rng(3)
-    xs, ys, vectors = [], [], []
-    for text, y in zip(texts, labels, strict=True):
-        u = Units.of([text])
-        x = word_vectors(u, tables, int(y), kept)
-        vectors.append((x, u.bounds))
-        w, _, _ = windows_of(x, u.bounds)
-        strength = w[:, :, :-1].sum(2).max(1)
-        best = int(strength.argmax())
-        xs.append(w[best])
-        ys.append(int(y))
-        if len(w) > 1 and not y:
-            xs.append(w[int(rng.integers(len(w)))])
-            ys.append(0)
-    x, y = np.stack(xs), np.array(ys)
-    network = Network.fresh()
-    network.train(x, y, np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())))
-    model = ToxicityModel(tables, network, np.zeros(3), prior)
-    f = np.concatenate([model.document_features(x, bounds) for x, bounds in vectors])
-    weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-    model.calibration = fit_logistic(f, labels, weight, ridge=0.5)
-    for t in tables:
-        t.counts = None
+        return ToxicityModel(None, None, np.zeros(3), prior)
+    order = np.concatenate([np.flatnonzero(labels == c) for c in (0, 1)])
+    held = np.zeros(labels.size, bool)
+    for c in (0, 1):
+        held[np.flatnonzero(labels == c)[::CALIBRATE]] = True
+    if min(held[labels == 1].sum(), held[labels == 0].sum()) < 5:
+        held[:] = False  # too few to spare: the calibration then uses the texts of the training
+    texts = [Words.split([t]) for t in folded([t for t, _ in rows])]
+    mine = [texts[i] for i in order if not held[i]]
+    own = np.array([labels[i] for i in order if not held[i]])
+    lexicon, count = Lexicon.learn(mine)
+    network = train_network(mine, own, lexicon, count)
+    model = ToxicityModel(lexicon, network, np.zeros(3), prior)
+    told = [i for i in order if held[i] or not held.any()]
+    f, y = np.concatenate([model.features(texts[i]) for i in told]), labels[told]
+    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    model.calibration = fit_logistic(f, y, weight, ridge=0.5)
     return model
 
 

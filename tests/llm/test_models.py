@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,26 +61,86 @@ def test_toxicity_without_labels():
     assert list(toxicity.fit([("a", 1), ("b", 1)]).scores([b"a"])) == [1.0]
 
 
-def test_gru_gradients():
-    import numpy as np
-
+def test_network_gradients():
     rng = np.random.default_rng(0)
-    net = toxicity.Network.fresh()
+    net = toxicity.Network.fresh(5)
     net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
-    x = rng.random((3, toxicity.WINDOW, toxicity.FEATURES + 1))
+    x = rng.normal(0, 1, (3, 12, toxicity.SIZE + 1))
+    x[:, :, -1] = 1
+    x[0, :3] = 0
+    x[2, 8:] = 0
+    pool = x[:, :, -1] * (np.arange(12) >= 2)
     y = np.array([0.0, 1.0, 1.0])
-    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(x)[0]))))
-    logit, cache = net.forward(x, keep=True)
-    grads = net.gradients((1 / (1 + np.exp(-logit)) - y) / 3, cache)
-    for k, p in net.params.items():
-        at = tuple(0 for _ in p.shape)
+    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(x, pool)[0]))))
+    logit, cache = net.forward(x, pool, keep=True)
+    grads, dx = net.gradients((1 / (1 + np.exp(-logit)) - y) / 3, cache)
+
+    def slope(p, at):
         old = p[at]
-        p[at] = old + 1e-3
+        p[at] = old + 1e-4
         up = loss()
-        p[at] = old - 1e-3
+        p[at] = old - 1e-4
         down = loss()
         p[at] = old
-        assert grads[k][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
+        return (up - down) / 2e-4
+
+    for k, g in grads.items():
+        for at in {tuple(0 for _ in g.shape), tuple(n - 1 for n in g.shape)}:
+            assert g[at] == pytest.approx(slope(net.params[k], at), rel=1e-3, abs=1e-7), k
+    assert dx[1, 4, 2] == pytest.approx(slope(x, (1, 4, 2)), rel=1e-3, abs=1e-7)
+
+
+def test_every_overlapping_window_is_scored(labelled):
+    """The sliding sums give what the network gives for each window of a text on its own, one from each word on."""
+    model = toxicity.fit(labelled)
+    words = toxicity.Words.split(toxicity.folded([prose(1, 50) + " vilexo " + prose(2, 20), "", prose(3, 5), prose(4, 32)]))
+    x = model.vectors(words)
+    logit, first = model.network.text_windows(x, words.bounds)
+    assert np.diff(first).tolist() == [71 - 31, 1, 1, 1]
+    pad, p = toxicity.MARGIN, model.network.params
+    piece = np.concatenate([np.zeros((pad, x.shape[1]), x.dtype), x[:71], np.zeros((toxicity.PIECE - 71 + pad, x.shape[1]), x.dtype)])
+    for s in (0, 1, 17, 39):
+        pool = np.zeros((1, len(piece)))
+        pool[0, pad + s : pad + s + toxicity.WINDOW] = 1
+        assert model.network.forward(piece[None], pool)[0][0] == pytest.approx(logit[s], abs=1e-4)
+    assert logit[first[1]] == pytest.approx(float(p["z"][0]), abs=1e-6)
+
+
+def test_words_and_characters_both_reach_the_network(labelled, monkeypatch):
+    texts = [prose(70, 30) + word + prose(71, 30) for word in (" vilexo ", " vilexum ", " ")]
+
+    def scores():
+        return toxicity.fit(labelled).scores(toxicity.folded(texts)).tolist()
+
+    known, unseen, clean = scores()
+    assert min(known, unseen) > 0.5 > clean
+    monkeypatch.setattr(toxicity, "WORD_DROPOUT", 1.0)  # no word vectors are learned: the characters carry both
+    known, unseen, clean = scores()
+    assert min(known, unseen) > 0.5 > clean
+    monkeypatch.setattr(toxicity, "WORD_DROPOUT", 0.0)
+    plain = toxicity.Words.split
+
+    def words_only(texts):
+        w = plain(texts)
+        own = w.starts[:-1]
+        return toxicity.Words(w.bounds, w.of, w.inputs[own], np.arange(own.size + 1), w.weight[own])
+
+    monkeypatch.setattr(toxicity.Words, "split", staticmethod(words_only))
+    known, unseen, clean = scores()
+    assert known > 0.5 > max(unseen, clean)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Labels on long texts alone give trained models."""
+    junk = lambda i: prose(i, 9000).upper().replace(" ", " $$$ ")
+    rows = [(i, prose(i, 9000)) for i in range(20)] + [(100 + i, junk(i)) for i in range(20)]
+    docs = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") < 100, "aa").otherwise("bb"))
+    labels = spark.createDataFrame([(i, int(i < 100), int(i >= 100)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert all(len(t) > 50_000 for _, t in rows)
+    assert quality.train(docs, labels).good
+    assert toxicity.train(docs, labels).network is not None
+    model = language_id.train(docs)
+    assert model.languages == ["aa", "bb"]
 
 
 def test_quality_edges(spark):
@@ -103,8 +164,6 @@ def test_language_edges(spark):
 
 
 def test_folded_tables_equal_the_convolution():
-    import numpy as np
-
     model = language_id.fit([("abc def ghi " * 20, "a"), ("xyz uvw rst " * 20, "b")], steps=20)
     w = np.frombuffer((b"abc xyz \xc3\xa9 " * 40)[:256], np.uint8)[None]
     _, _, h = language_id._responses(w, model)
