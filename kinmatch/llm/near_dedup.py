@@ -2,30 +2,34 @@
 
 1. Each text becomes its set of word shingles and a signature of 64 minima.
    Texts with equal sets (copies among them) collapse into one class by an
-   aggregation; from here on only class representatives take part.
-2. A representative is posted under every (coordinate, value) pair. Values
-   that no other representative has cannot collide and go first.
+   aggregation; classes, not ids, are the nodes from here on.
+2. A class is posted under every (coordinate, value) pair. Values that no
+   other class has cannot collide and go first.
 3. A pair above the match threshold agrees in at least T coordinates, so a
-   representative with fewer than T shared values has no partner, and one
-   with n of them need only be posted under its n - T + 1 rarest (prefix
-   filter): the lists of lines that many texts share are skipped, and the
-   counts over the skipped lists come from the signatures themselves.
-4. Members of a list are first held against two representatives of the list,
-   its smallest and largest id. Confirmed links are contracted; what still
-   lies in different components of one list is compared exhaustively inside a
-   join on the list, by sketches of 2048 bits, so that only pairs near the
-   threshold leave it and no link between components is lost.
-5. Pairs with enough collisions are confirmed on the full shingle sets.
+   class with fewer than T shared values has no partner, and one with n of
+   them need only be posted under its n - T + 2 rarest: such a pair meets at
+   least twice there (prefix filter). The longer lists, those of lines that
+   many texts share, are skipped, and what a pair has in common in them is
+   looked up in the signatures.
+4. Members of a list are first held against two of its members, the smallest
+   and the largest. Confirmed links are contracted; what still lies in
+   different components of one list is compared exhaustively inside a join on
+   the list. There a pair counts its common postings, meets under the first of
+   them only, and is dropped if it has fewer than two or if sketches of 2048
+   bits show that it is too far below the threshold, so that of a group whose
+   members resemble each other just too little few pairs leave the join.
+5. Pairs with T agreeing coordinates are confirmed on the full shingle sets.
 
 Guarantee: the confirmation is exact; a link of similarity 0.8 is missed as a
-candidate with probability below 2e-5 (binomial tail, 38 of 64 at 0.8).
+candidate with probability below 1e-5 (tails of the binomial distribution:
+fewer than 36 of 64 coordinates agree in 4.2e-6 of such links, and more than
+275 of 2048 bits differ in 3.2e-7).
 
 Defined results: null and empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; fewer words than a
-shingle count as one shingle; equal rows get equal results; ids are taken to
-name one text each (of an id with several texts, each row joins the class of
-its own text, and one of the texts stands for the id in further links); null
-doc_ids are returned as their own component; other columns are ignored.
+shingle count as one shingle; equal rows get equal results; rows with one id
+and several texts are linked each by their own text; null doc_ids are returned
+as their own component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import WORD_BYTES, encoded, materialize, mix, release, shingles, table, text_slices, word_hashes
+from kinmatch.llm.common import WORD_BYTES, encoded, materialize, mix, release, shingles, table, text_key, text_slices, word_hashes
 from kinmatch.llm.components import connected_components
 
 COORDINATES = 64
 #: Coordinates that must agree before a pair is confirmed on full sets.
-MATCHES = 38
+MATCHES = 36
+#: Postings that such a pair shares at least, and by which prefixes are longer than one common posting needs.
+LEAST_MET = 2
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LOW = np.uint64(COORDINATES - 1)
@@ -65,57 +71,68 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, list[np.
         yield lo, [shingles(h[bounds[i] : bounds[i + 1]], width) for i in range(hi - lo)]
 
 
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two hashes (n, 2) of each set, zeros for an empty one."""
+    key = np.zeros((len(sets), 2), np.uint64)
+    sizes = np.array([s.size for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if full.size:
+        joined = np.concatenate([sets[i] for i in full])
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        key[full, 0] = np.add.reduceat(mix(joined), starts)
+        key[full, 1] = np.bitwise_xor.reduceat(mix(joined + np.uint64(7)), starts)
+    return key
+
+
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, sets in shingle_sets(encoded(batch.column(1).to_pylist()), width):
+            for lo, sets in shingle_sets(encoded(batch.column(3).to_pylist()), width):
                 sizes = np.array([s.size for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 sig = np.zeros((len(sets), COORDINATES), np.uint64)
-                key = np.zeros((len(sets), 2), np.uint64)
                 if full.size:
-                    joined = np.concatenate([sets[i] for i in full])
                     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                    sig[full] = signatures(joined, starts)
-                    key[full, 0] = np.add.reduceat(mix(joined), starts)
-                    key[full, 1] = np.bitwise_xor.reduceat(mix(joined + np.uint64(7)), starts)
+                    sig[full] = signatures(np.concatenate([sets[i] for i in full]), starts)
+                key = set_keys(sets).view(np.int64)
                 flat = pa.array(sig[full].ravel().view(np.int64))
                 at = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDINATES, 0))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, len(sets)).cast(pa.int64()),
+                        *(batch.column(c).slice(lo, len(sets)) for c in range(3)),
                         pa.array(sizes),
-                        pa.array(key[:, 0].view(np.int64)),
-                        pa.array(key[:, 1].view(np.int64)),
+                        pa.array(key[:, 0].copy()),
+                        pa.array(key[:, 1].copy()),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat),
                     ],
-                    ["doc_id", "n_shingles", "k0", "k1", "sig"],
+                    ["doc_id", "t0", "t1", "n_shingles", "k0", "k1", "sig"],
                 )
 
     return run
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_sketcher(width), "doc_id long, n_shingles long, k0 long, k1 long, sig array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
+    return rows.mapInArrow(_sketcher(width), "doc_id long, t0 long, t1 long, n_shingles long, k0 long, k1 long, sig array<long>")
 
 
 def _set_builder(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for lo, sets in shingle_sets(encoded(batch.column(1).to_pylist()), width):
-                at = np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32)
-                flat = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], ["node", "words"])
+            wanted = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1).view(np.uint64).reshape(-1, 2)
+            for lo, sets in shingle_sets(encoded(batch.column(3).to_pylist()), width):
+                mine = np.flatnonzero((set_keys(sets) == wanted[lo : lo + len(sets)]).all(1))  # of an id with several texts, the class's own
+                at = np.concatenate([[0], np.cumsum([sets[i].size for i in mine])]).astype(np.int32)
+                flat = pa.array(np.concatenate([sets[i] for i in mine]).view(np.int64) if mine.size else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mine + lo)), pa.ListArray.from_arrays(pa.array(at), flat)], ["node", "words"])
 
     return run
 
 
 #: Bits of the fine sketch, and how many may differ: at similarity 0.8 a tenth of them is expected to,
-#: and more than this limit with probability below 1e-5.
+#: and more than this limit with probability 3.2e-7.
 FINE_BITS = 2048
-FINE_APART = 266
+FINE_APART = 275
 _FINE_SEEDS = mix(np.arange(1001, 1001 + FINE_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -151,8 +168,8 @@ def collisions(left: str, right: str):
     return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
-    """(node, n, key): each representative under its rarest shared values, as many as the threshold needs."""
+def prefix_posts(reps: DataFrame, matches: int, met: int) -> DataFrame:
+    """(node, n, key): each class under its rarest shared values, so many that a pair with enough matches meets ``met`` times."""
     posts = reps.select("node", "n", F.explode("sig").alias("key"))
     shared = materialize(posts.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "lists")
     held = posts.join(shared, "key")
@@ -160,7 +177,7 @@ def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
         held.groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("listed", "key"))).alias("by"))
         .filter(F.size("by") >= matches)
-        .select("node", "n", F.explode(F.slice("by", F.lit(1), F.size("by") - (matches - 1))).alias("p"))
+        .select("node", "n", F.explode(F.slice("by", F.lit(1), F.size("by") - (matches - met))).alias("p"))
     )
     return materialize(ranked.select("node", "n", F.col("p.key").alias("key")), "posts")
 
@@ -190,13 +207,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between representatives that span every component, and the components."""
-    posts = prefix_posts(reps, matches)
+def class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, words): the full shingle set of each class, from the text of its smallest id; one row a class."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(classes.select("low", "node", "k0", "k1"), "low")
+    sets = materialize(texts.select("node", "k0", "k1", "text").mapInArrow(_set_builder(width), "node long, words array<long>"), "sets")
+    return sets if sets.count() == classes.count() else materialize(sets.dropDuplicates(["node"]), "sets")
+
+
+def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: int) -> DataFrame:
+    """Components (node, component) of the classes that have a link, from confirmed links that span each."""
+    posts = prefix_posts(reps, matches, LEAST_MET)
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    wanted = posts.select("node").distinct()
-    sets = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi").mapInArrow(_set_builder(width), "node long, words array<long>")
-    sets = materialize(sets.dropDuplicates(["node"]) if reps_repeat(docs) else sets, "sets")
+    wanted = reps.select("node", "low", "k0", "k1").join(posts.select("node").distinct(), "node", "left_semi")
+    sets = class_sets(docs, materialize(wanted, "wanted"), width)
     ends = posts.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("lo"), F.max_by(F.struct("node", "n"), "node").alias("hi"), F.count("*").alias("listed")).filter("listed > 1")
     ends = materialize(ends.select("key", F.explode(F.array("lo", "hi")).alias("end")), "ends")
     star = (
@@ -214,44 +237,42 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     )
     open_lists = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
     rest = materialize(placed.join(materialize(open_lists, "open"), "key", "left_semi"), "rest")
-    # Each pair meets once, under its first common key, and only if its fine sketches are near enough: a blurred
-    # group, whose members resemble each other just below the threshold, then stays inside the join.
+    # Each pair meets once, under the first of its common postings, of which it has enough, and only if its fine
+    # sketches are near enough.
     nodes = rest.select("node").distinct()
     fine = materialize(sets.join(nodes, "node", "left_semi").mapInArrow(_fine, "node long, fine array<long>"), "fine")
     keys = materialize(posts.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
     rest = materialize(rest.join(fine, "node").join(keys, "node"), "rest")
     left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("fine").alias("fa"), F.col("keys").alias("ka"))
     right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("fine").alias("fb"), F.col("keys").alias("kb"))
-    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
+    common = F.array_intersect("ka", "kb")
+    once = (F.size(common) >= LEAST_MET) & (F.array_min(common) == left["key"])
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close
     cross = left.join(right, (left["key"] == right["key"]) & apart & (bits_apart("fa", "fb") <= FINE_APART) & once)
-    more = _confirmed(cross.select("a", "b"), sets, percent)
-    every = materialize(found.unionByName(more), "every")
-    return every, materialize(connected_components(every), "comps")
+    more = _confirmed(_colliding(materialize(cross.select("a", "b"), "cross"), reps, matches), sets, percent)
+    return materialize(connected_components(materialize(found.unionByName(more), "every")), "comps")
 
 
-def reps_repeat(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count() > 0
+def near_rows(docs: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
+    """One row per input row: doc_id, t0 and t1 (hashes of the text), n_shingles, component_id, kept, and ``root``, which names the component."""
+    rows = materialize(sketches(docs, width), "sketch")
+    by = ["k0", "k1", "n_shingles"]
+    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    comps = links(docs, classes.withColumnRenamed("n_shingles", "n"), width, matches, percent)
+    placed = materialize(classes.select(*by, "low", "node").join(comps, "node", "left").select(*by, "low", F.coalesce("component", "node").alias("root")), "placed")
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    placed = materialize(placed.join(lowest, "root").select(*by, "root", "component_id"), "placed")
+    out = rows.drop("sig").join(placed, by, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = out.withColumn("component_id", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("root", F.when(linked, F.col("root")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t0", "t1", "root")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    spark = docs.sparkSession
-    rows = materialize(sketches(docs, width), "sketch")
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k0", "k1", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "classes")
-    head = rows.select(F.col("doc_id").alias("node"), "n_shingles", "k0", "k1", "sig")
-    reps = head.join(classes, ["node", "k0", "k1", "n_shingles"], "left_semi").select("node", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["node"])
-    reps = materialize(reps, "reps")
-    _, comps = links(docs, reps, width, matches, percent)
-    placed = classes.join(comps, "node", "left").select("k0", "k1", "n_shingles", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
-    out = rows.select("doc_id", "n_shingles", "k0", "k1").join(placed, ["k0", "k1", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return near_rows(docs, width, percent, matches).drop("t0", "t1", "root")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4)
-
-

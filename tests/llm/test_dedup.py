@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
@@ -114,6 +116,37 @@ def test_near_repeated_and_null_ids(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True)], key=str)
 
 
+def test_near_ids_with_several_texts(spark):
+    """Each row is linked by its own text: ids are not nodes."""
+    changed = lambda i: prose(i, 80) + " end"
+    rows = [(1, prose(1, 80)), (1, prose(2, 80)), (5, changed(1)), (6, changed(2)), (7, prose(3, 80)), (7, changed(1)), (8, changed(3))]
+    got = rows_of(near_dedup.near_dedup(documents(spark, rows), 4), "doc_id", "component_id", "kept")
+    assert got == sorted([(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 7, True), (7, 1, False), (8, 7, False)], key=str)
+
+
+def test_bounds_of_missed_links():
+    """The tails that the module states, at a similarity of exactly 0.8."""
+    below = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(near_dedup.MATCHES))
+    n, most = near_dedup.FINE_BITS, near_dedup.FINE_APART
+    above = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.1) + (n - i) * math.log(0.9)) for i in range(most + 1, n + 1))
+    assert below < 4.3e-6 and above < 3.2e-7 and below + above < 1e-5
+
+
+def test_near_blurred_group(spark):
+    """Many texts that resemble each other just below or just above the threshold: every link is found, whatever the list."""
+    rng = random.Random(3)
+    base = prose("blur", 120).split()
+    rows = []
+    for k in range(700):
+        words = list(base)
+        for at in rng.sample(range(120), 3 + k % 4):
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    want = plain_near(rows, 4)
+    assert len({r[2] for r in want}) > 20  # several components among look-alikes
+    assert rows_of(near_dedup.near_dedup(documents(spark, rows), 4), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(documents(spark, near_rows()).limit(0)).count() == 0
 
