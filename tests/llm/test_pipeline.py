@@ -43,6 +43,37 @@ def test_odd_rows(spark):
         assert rows_of(docs, "doc_id") == [(1,), (3,), (5,), (None,)]
 
 
+def test_rows_with_one_id_and_several_texts(spark):
+    docs = documents(spark, [(1, prose(1, 80)), (1, prose(2, 80)), (1, prose(2, 80)), (2, prose(2, 80)), (3, prose(1, 80) + " end"), (None, prose(4)), (None, prose(4)), (None, prose(1, 80))])
+    exact = pipeline.keep_first_copy(spark, docs, SF)
+    assert rows_of(exact, "doc_id", "text") == sorted([(1, prose(1, 80)), (1, prose(2, 80)), (3, prose(1, 80) + " end"), (None, prose(4))], key=str)
+    near = pipeline.keep_one_of_near(spark, exact, SF)
+    assert rows_of(near, "doc_id", "text") == sorted([(1, prose(1, 80)), (1, prose(2, 80)), (None, prose(4))], key=str)
+
+
+def test_mix_keeps_to_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes, by = {}, {}
+    for r in docs.collect():
+        sizes[r["doc_id"]] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        by.setdefault(r["source"], []).append(r["doc_id"])
+    rows = {r["doc_id"]: r for r in pipeline.mix(spark, docs, SF).collect()}
+    named = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(sizes[d] for d in by[s]) for s in named}
+    weight, rest, goal = {s: (3, 1, 2)[i % 3] for i, s in enumerate(named)}, 1.5 * sum(total.values()), {}
+    while len(goal) < len(named):  # sources at twice their size leave, what they cannot take is shared again
+        free = [s for s in named if s not in goal]
+        unit = (rest - sum(goal.values())) / sum(weight[s] for s in free)
+        full = [s for s in free if unit * weight[s] > 2 * total[s]]
+        goal.update({s: 2.0 * total[s] if full else unit * weight[s] for s in full or free})
+    assert {d: r["size"] for d, r in rows.items()} == sizes
+    for s in named:
+        taken = [rows[d]["taken"] for d in by[s]]
+        assert all(t in (0, sizes[d], 2 * sizes[d]) for d, t in zip(by[s], taken, strict=True))
+        assert all(abs(rows[d]["target"] - goal[s]) < 1e-6 * max(1, goal[s]) for d in by[s])
+        assert abs(sum(taken) - goal[s]) <= max(0.02 * goal[s], max(sizes[d] for d in by[s]) if len(by[s]) < 12 else 0)
+
+
 def test_empty_table(spark):
     docs = documents(spark, [(1, "x")]).limit(0)
     for _, stage in pipeline.STAGES:
