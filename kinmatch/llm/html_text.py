@@ -1,16 +1,22 @@
 """Main text of web pages with removal of site templates.
 
 Pages are read as element trees. Subtrees are hashed and counted per host in
-Spark (combined before the shuffle); a subtree that recurs on many pages of
-its host is part of the site's template and is deleted, and so are elements
-that by their tag, role or class are menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles or reader comments. What is left
-inside the article (the ``article`` or ``main`` elements, else the whole body)
-is returned block by block. Inside an article only whole containers (``div``,
-``section``, lists, tables, figures) are counted, by the articles of different
-text that hold them, so that one article at many addresses keeps its own.
-A paragraph, list item or table row of an article is never deleted for
-recurring by itself: a sentence that many pages quote is text, not template.
+Spark (combined before the shuffle) by the different contents of the pages
+they stand on; a subtree that recurs on many of them is part of the site's
+template and is deleted. A page's content is the text of its articles, or its
+whole text without any, so that one page at many addresses counts once and
+keeps its own text. Elements that by their tag, role or class are menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
+comments go as well, since a host may have few pages. What is left inside the
+article (the ``article`` or ``main`` elements, else the whole body) is
+returned block by block.
+
+Inside an article only whole containers (``div``, ``section``, lists, tables,
+figures) are deleted by their counts, and only containers by their class or
+id; its paragraphs, list items and table rows go neither for recurring (a
+sentence that many articles quote is text) nor for their names, but for the
+plain names of adverts. A name counts as a whole: ``share-box`` names a part
+of the page, ``share-price`` does not.
 
 Defined results: null, empty and text-free pages give the empty text; equal
 rows are extracted each; a null or odd url belongs to the host ""; other
@@ -49,7 +55,7 @@ CONTAINERS = frozenset("div section ul ol dl table figure".split())
 #: Elements that are never part of the main text.
 DROPPED = frozenset(
     "script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas math dialog menu head title meta link "
-    "audio video noembed noframes applet map datalist fieldset label".split()
+    "audio video noembed noframes applet map datalist".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 #: Words of a class or id that name a part around the main text.
@@ -58,11 +64,16 @@ PARTS = frozenset(
     "footer foot sidebar side aside widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager masthead topbar toolbar skip hidden copyright legal disclaimer".split()
 )
+#: Words that may stand beside them: with any other word a name is about something else.
+BESIDE = frozenset(
+    "area articles bar block body bottom box btn button buttons center col column container content fixed form global google group header holder icons inner item items left line "
+    "link links list main media message mobile module news outer page panel policy post posts primary right row secondary section site slot sticky stories sub thread title to top unit wrap wrapper x zone".split()
+)
 #: The same when they stand on a header element or container, but not on an article's own headings.
 HEADER_PARTS = frozenset("header head masthead topbar".split())
 COMMENTS = frozenset("comment comments reply".split())
-#: Words of a class that say how a layout treats a part, not that it is one.
-LAYOUT = frozenset("with without has no".split())
+#: Whole names that make an advert of a paragraph, too.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsored promo".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -82,35 +93,37 @@ class Node:
 def _kind(tag: str, attributes: str, inside_article: bool) -> str:
     if tag in DROPPED:
         return "drop"
-    role, names, shown, item = "", set(), True, ""
+    role, names, shown, item = "", [], True, ""
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 role = value.strip().lower()
-            elif name in ("class", "id"):
-                for token in value.lower().split():
-                    words = set(_WORDS.findall(token))
-                    if not words & LAYOUT and (name == "class" or _names_part(tag, words, inside_article)):
-                        names |= words
+            elif name == "class" or name == "id" and (not inside_article or tag in CONTAINERS):  # ids of an article are often slugs of its headings
+                names += value.lower().split()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 shown = False
             elif name == "itemprop":
                 item = value.strip().lower()
-    if tag in ("body", "html", "article", "main") or role in ("main", "article") or item == "articlebody":
-        return "article" if tag not in ("body", "html") and not names & COMMENTS else "" if tag in ("body", "html") else "drop"
-    if not shown or role in ROLES or names & PARTS:
+    if tag in ("body", "html"):
+        return ""
+    if tag in ("article", "main") or role in ("main", "article") or item == "articlebody":
+        return "drop" if any(_about(n, COMMENTS) for n in names) else "article"
+    if not shown or role in ROLES:
+        return "drop"
+    if inside_article and tag not in CONTAINERS:
+        return "drop" if ADVERTS & PARTS & set(names) else ""
+    if any(_about(n, PARTS) for n in names):
         return "drop"
-    if (tag == "header" or names & HEADER_PARTS and tag in ("div", "section", "table")) and not inside_article:
+    if not inside_article and (tag == "header" or tag in ("div", "section", "table") and any(_about(n, HEADER_PARTS) for n in names)):
         return "drop"
     return ""
 
 
-def _names_part(tag: str, words: set[str], inside_article: bool) -> bool:
-    """Whether an id may name a part: those of articles and inside them are often slugs of a heading, so every word must, and on a container."""
-    if tag in ("article", "main"):
-        return words <= COMMENTS
-    return not inside_article or tag in CONTAINERS and words <= PARTS
+def _about(name: str, parts: frozenset[str]) -> bool:
+    """Whether a class or id as a whole names one of ``parts``: one of its words does, and the others stand beside such words."""
+    words = set(_WORDS.findall(name))
+    return bool(words & parts) and words <= parts | PARTS | BESIDE
 
 
 def parse(text: str) -> Node:
@@ -172,14 +185,14 @@ def _hash(parts: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int], int | None]:
+def subtree_hashes(root: Node) -> tuple[dict[int, int], int | None]:
     """Node identity to hash for every element that may be template: it has text and is no prose of an article.
 
-    Further the identities of those that stand inside an article, and a hash of the articles' text (null without any).
+    Further a hash of the page's content: the text of its articles, without any the whole text (null if there is none).
     """
     found: dict[int, int] = {}
-    inside: set[int] = set()
-    words: list[bytes] = []
+    own: list[bytes] = []
+    every: list[bytes] = []
     # a stack of (node, inside an article, dropped, parts collected so far, next child, holds an article) instead of recursion
     frames = [[root, False, False, [root.tag.encode()], 0, False]]
     while frames:
@@ -191,8 +204,8 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int], int | None]:
             if isinstance(child, str):
                 if t := child.strip():
                     parts.append(_SPACE.sub(" ", t).encode("utf-8", "surrogatepass"))
-                    if article and not dropped:
-                        words.append(parts[-1])
+                    if not dropped:
+                        (own if article else every).append(parts[-1])
             else:
                 frames.append([child, article or child.kind == "article", dropped or child.kind == "drop", [child.tag.encode()], 0, False])
             continue
@@ -203,13 +216,12 @@ def subtree_hashes(root: Node) -> tuple[dict[int, int], set[int], int | None]:
             # neither what is an article by its role nor what is wrapped around one is template
             if node.kind != "article" and (article or not holds):
                 found[id(node)] = value
-                if article:
-                    inside.add(id(node))
         if frames and (holds or node.kind == "article"):
             frames[-1][5] = True
         if frames and worth:
             frames[-1][3].append(value.to_bytes(8, "little", signed=True))
-    return found, inside, _hash(words) if words else None
+    content = own or every
+    return found, _hash(content) if content else None
 
 
 def _prose(node: Node) -> bool:
@@ -275,11 +287,10 @@ def _hasher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found, inside, article = subtree_hashes(parse(page)) if page else ({}, (), None)
-            rows.append((host, None, article))
-            rows += {(host, value, article if node in inside else None) for node, value in found.items()}
+            found, content = subtree_hashes(parse(page)) if page else ({}, None)
+            rows += [(host, value, content) for value in (None, *set(found.values()))]
         columns = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "subtree", "article"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "subtree", "content"])
 
 
 def host_of(url: str = "url"):
@@ -287,19 +298,15 @@ def host_of(url: str = "url"):
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, template array): hashes of the subtrees that recur on the host's pages, or inside its articles of different text.
+    """(host, template array): hashes of the subtrees that recur on the host's pages of different content.
 
-    A host has at most (subtrees of a mean page) / ``least_share`` of either, whatever its number of pages.
+    A host has at most (subtrees of a mean page) / ``least_share`` of them, whatever its number of pages.
     """
-    seen = pages.select(host_of().alias("host"), "html").mapInArrow(_hasher, "host string, subtree long, article long")
-    texts = seen.groupBy("host", "subtree", "article").agg(F.count("*").alias("n"))
-    # without a subtree: all pages of the host and its articles of different text
-    on_pages = F.sum(F.when(F.col("subtree").isNull() | F.col("article").isNull(), F.col("n")).otherwise(0))
-    counted = texts.groupBy("host", "subtree").agg(on_pages.alias("pages"), F.count("article").alias("articles"))
-    counted = materialize(counted.filter(F.col("subtree").isNull() | (F.greatest("pages", "articles") >= least_pages)), "subtrees")
-    sizes = counted.filter("subtree IS NULL").select("host", F.col("pages").alias("all_pages"), F.col("articles").alias("all_articles"))
-    often = [(F.col(c) >= least_pages) & (F.col(c) >= least_share * F.col(f"all_{c}")) for c in ("pages", "articles")]
-    recurring = counted.filter("subtree IS NOT NULL").join(sizes, "host").filter(often[0] | often[1])
+    seen = pages.select(host_of().alias("host"), "html").mapInArrow(_hasher, "host string, subtree long, content long").filter("content IS NOT NULL")
+    counted = seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("contents"))
+    counted = materialize(counted.filter(F.col("contents") >= least_pages), "subtrees")  # without a subtree: all contents of the host
+    sizes = counted.filter("subtree IS NULL").select("host", F.col("contents").alias("all_contents"))
+    recurring = counted.filter("subtree IS NOT NULL").join(sizes, "host").filter(F.col("contents") >= least_share * F.col("all_contents"))
     return recurring.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from kinmatch.llm.common import scratch_path
 
 from .helpers import SF, documents, prose, rows_of
 
+SF01 = "/root/testdata/sf0.01"
+
 # --- decontamination ------------------------------------------------------------
 
 ITEM = prose("item", 40).split()
@@ -217,6 +220,83 @@ def test_slugs_inside_articles_drop_nothing():
     assert html_text.extract('<article id="comment-7">x</article><article>a</article>') == "a"
 
 
+def test_names_count_as_a_whole():
+    prose_ = '<section class="related-work"><p>a</p></section><p class="share-price">b</p><div class="legal-history">c</div><p class="legal">d</p><label>e</label><p>f <span class="comment">g</span></p>'
+    assert html_text.extract(f"<article>{prose_}</article>") == "a\n\nb\n\nc\n\nd\n\ne\n\nf g"
+    parts = '<div class="ad">x</div><div class="ad-slot-2">x</div><section class="related-posts">x</section><ul class="share-buttons"><li>x</ul><p class="advert">x</p><div class="comments-area"><p>x</div>'
+    assert html_text.extract(f"<article><p>a</p>{parts}<p>b</p></article>") == "a\n\nb"
+    assert html_text.extract('<form><label>x</label></form><div class="site-header">x</div><div class="with-sidebar"><p>a</p></div>') == "a"
+
+
+def host_pages(n=9):
+    """Pages without an article element whose menu, notice, box and footer recur, as does a box inside the articles of another host."""
+    menu, foot = "<nav><ul><li>Home</li><li>News</li></ul></nav><div class='cookie'>We use cookies</div>", "<footer>All rights</footer>"
+    bare = "<body>" + menu + "<div><p>own {0}</p><div class='promo'>Buy now</div><p>more {0}</p></div>" + foot
+    own = "<body>" + menu + "<article><p>own {0}</p><div>Read our other pages</div></article>" + foot
+    return [(i, f"http://a.example/{i}", bare.format(i)) for i in range(n)] + [(100 + i, f"http://b.example/{i}", own.format(i)) for i in range(n)]
+
+
+def test_counts_alone_remove_the_template(spark, monkeypatch):
+    for lists in ("DROPPED", "ROLES", "PARTS", "HEADER_PARTS", "COMMENTS"):
+        monkeypatch.setattr(html_text, lists, frozenset())
+    rows = host_pages()
+    templates = {r["host"]: frozenset(r["template"]) for r in html_text.site_templates(pages(spark, rows)).collect()}
+    for i, url, page in rows:
+        own = templates[url.split("/")[2]]
+        assert html_text.extract(page, own) == (f"own {i}\n\nmore {i}" if i < 100 else f"own {i - 100}")
+        assert html_text.extract(page, own) != html_text.extract(page)  # without the counts it stays
+
+
+def test_one_page_at_many_addresses_keeps_its_text(spark):
+    copies = [(i, "http://a.example/", "<body><div><p>one text</p><p>its end</p></div>") for i in range(12)]
+    few = [(100 + i, "http://b.example/", f"<body><p>Welcome</p><p>text {i % 6}</p>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages(spark, copies + few)).collect()}
+    assert {got[i] for i in range(12)} == {"one text\n\nits end"}
+    assert all(got[100 + i] == f"text {i % 6}" for i in range(60))
+
+
+class PlainArticle(HTMLParser):
+    """The blocks of the article element, for pages of simple markup."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.line = False, [], ""
+
+    def end_block(self):
+        if words := self.line.split():
+            self.blocks.append(" ".join(words))
+        self.line = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        if tag in ("article", "p", "h1"):
+            self.end_block()
+        if tag == "br":
+            self.line += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1"):
+            self.end_block()
+        if tag == "article":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.line += data
+
+
+def test_all_pages_equal_a_plain_extraction(spark):
+    rows = spark.read.parquet(f"{SF01}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in html_text.query(spark, SF01).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        plain = PlainArticle()
+        plain.feed(r["html"] or "")
+        want = "\n\n".join(plain.blocks)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"], got[r["page_id"]]["url"]) == (want, len(want), r["url"])
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "é" * 400_000 + "</p>"
     rows = [(1, "http://a\r\n/", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "u", big), (7, "u", "a\r\n\r\nb"), (2, None, "same"), (None, "u", "same"), (None, "u", "solo")]
