@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,38 +74,66 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _by_pair(measure: Callable[[str, str], float], a: pd.Series, b: pd.Series) -> pd.Series:
+    """``measure`` of every pair of an Arrow batch, computed once for each different pair; null where the pair is settled without it."""
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair[0] is None:
+            out.append(None)
+            continue
+        value = known.get(pair)
+        if value is None:
+            value = known[pair] = measure(*pair)
+        out.append(value)
+    return pd.Series(out, dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def _subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([1.0 if not x and not y else 2.0 * common_subsequence(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)])
+    return _by_pair(lambda x, y: 2.0 * common_subsequence(x, y) / (len(x) + len(y)), a, b)
+
+
+def _unsettled(a: Column, b: Column) -> tuple[Column, Column]:
+    settled = (a == "") | (b == "") | (a == b)
+    return F.when(~settled, a), F.when(~settled, b)
 
 
 def lcs_ratio(a: Column | str, b: Column | str, both_empty: float = 1.0) -> Column:
-    """2 LCS / (|a| + |b|); ``both_empty`` for two empty texts, 0 for one. Equal and empty texts never reach Python."""
+    """2 LCS / (|a| + |b|); ``both_empty`` for two empty texts, 0 for one. Equal and empty texts are settled here and sent to Python as nulls."""
     a, b = text(a), text(b)
-    settled = (a == "") | (b == "") | (a == b)
-    value = _subsequence_ratio(F.when(settled, "").otherwise(a), F.when(settled, "").otherwise(b))
+    value = _subsequence_ratio(*_unsettled(a, b))
     return F.when((a == "") & (b == ""), F.lit(both_empty)).when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(value)
 
 
 def jaro_winkler_pair(a: str, b: str, weight: float = 0.1, most: int = 4) -> float:
-    """Jaro similarity raised by the common prefix (of at most 4) where it is above 0.7."""
+    """Jaro similarity raised by the common prefix (of at most 4) where it is above 0.7.
+
+    The places of each character of ``b`` are the bits of a number, so the first free one within reach is found at once.
+    """
     if a == b:
         return 1.0 if a else 0.0
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken = [False] * len(b)
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    free = (1 << len(b)) - 1
+    width = (1 << (2 * reach + 1)) - 1
+    taken = 0
     mine = []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                mine.append(c)
-                break
+        within = width << (i - reach) if i >= reach else width >> (reach - i)
+        if here := places.get(c, 0) & free & within:
+            here &= -here
+            free ^= here
+            taken |= here
+            mine.append(c)
     m = len(mine)
     if not m:
         return 0.0
-    theirs = [c for c, t in zip(b, taken, strict=True) if t]
+    theirs = [c for j, c in enumerate(b) if taken >> j & 1]
     moved = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     prefix = 0
@@ -116,12 +146,11 @@ def jaro_winkler_pair(a: str, b: str, weight: float = 0.1, most: int = 4) -> flo
 
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_pair(x, y) for x, y in zip(a, b, strict=True)])
+    return _by_pair(jaro_winkler_pair, a, b)
 
 
 def jaro_winkler(a: Column | str, b: Column | str) -> Column:
-    """0 if either text is empty. Equal and empty texts never reach Python."""
+    """0 if either text is empty. Equal and empty texts are settled here and sent to Python as nulls."""
     a, b = text(a), text(b)
-    settled = (a == "") | (b == "") | (a == b)
-    value = _jaro_winkler(F.when(settled, "").otherwise(a), F.when(settled, "").otherwise(b))
+    value = _jaro_winkler(*_unsettled(a, b))
     return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(value)

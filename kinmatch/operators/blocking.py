@@ -95,15 +95,35 @@ def candidates(s1: DataFrame, target: DataFrame, with_routes: bool = False) -> D
     return met.select("source1_entity_id", "target_entity_id").distinct()
 
 
-def name_or_address(s1: DataFrame, target: DataFrame) -> DataFrame:
-    """Training candidates: name block or address block; two equi-joins instead of a disjunction."""
+def name_or_address(s1: DataFrame, target: DataFrame, limit: int | None = None) -> DataFrame:
+    """Training candidates: name block or address block; two equi-joins instead of a disjunction.
 
-    def one(key: str) -> DataFrame:
-        left = s1.filter(F.col(key) != "").select(F.col("entity_id").alias("source1_entity_id"), key)
-        right = target.filter(F.col(key) != "").select(F.col("entity_id").alias("target_entity_id"), key)
-        return left.join(right, key).drop(key)
+    With ``limit``, a block of more pairs does not meet as a whole: its records then share twice the
+    prefix too, and where even that has too many pairs, the whole normalized text.
+    """
 
-    return one("name_block").unionByName(one("address_block")).distinct()
+    def one(key: str, field: str, n: int) -> DataFrame:
+        longer = [] if limit is None else [F.substring(field, 1, 2 * n).alias("k1"), F.col(field).alias("k2")]
+        left = s1.filter(F.col(key) != "").select(F.col("entity_id").alias("source1_entity_id"), F.col(key).alias("k0"), *longer)
+        right = target.filter(F.col(key) != "").select(F.col("entity_id").alias("target_entity_id"), F.col(key).alias("k0"), *longer)
+        on, found = ["k0"], None
+        while True:
+            last = limit is None or len(on) == 3
+            blocks = None if last else _pair_counts(left, right, on)
+            kept = [side if last else side.join(blocks.filter(F.col("pairs") <= limit).select(*on), on, "left_semi") for side in (left, right)]
+            part = kept[0].join(kept[1].select("target_entity_id", *on), on).select("source1_entity_id", "target_entity_id")
+            found = part if found is None else found.unionByName(part)
+            if last:
+                return found
+            left, right = (side.join(blocks.filter(F.col("pairs") > limit).select(*on), on, "left_semi") for side in (left, right))
+            on = [*on, f"k{len(on)}"]
+
+    return one("name_block", "name_norm", 4).unionByName(one("address_block", "address_norm", 8)).distinct()
+
+
+def _pair_counts(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    n1, n2 = left.groupBy(*on).agg(F.count("*").alias("n1")), right.groupBy(*on).agg(F.count("*").alias("n2"))
+    return n1.join(n2, on).withColumn("pairs", F.col("n1") * F.col("n2"))
 
 
 def blocking_recall(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from kinmatch.functions.scoring import f_beta, ratio
 THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 0.95, 0.99)
 
 
+#: Ranges of scores that the rank measures are summed over.
+RANGES = 1024
+
+
 def confusion(scored: DataFrame, threshold: Column | float, by: Sequence[str] = ()) -> DataFrame:
     """tp, fp, fn, tn and the derived measures, 0 where a denominator is 0."""
     p, y = F.col("probability") >= threshold, F.col("y") == 1
@@ -61,14 +66,17 @@ def score_levels(scored: DataFrame) -> DataFrame:
 def _running(levels: DataFrame, descending: bool) -> DataFrame:
     """Running totals over the scores in two steps: within ranges of scores, then over the ranges.
 
-    Ranges are buckets of the probability, so no single task sorts all scores.
+    Ranges are cut at quantiles of the distinct scores, so they hold about equally many wherever the
+    scores pile up, and no single task sorts all of them.
     """
-    bucket = F.least(F.floor(F.col("probability") * 4096), F.lit(4095)).cast("int")
-    levels = levels.withColumn("_b", bucket)
+    levels = levels.filter(F.col("probability").isNotNull()).persist()
+    cuts = levels.approxQuantile("probability", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES) or [0.0]
+    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    levels = Bucketizer(splits=edges, inputCol="probability", outputCol="_b", handleInvalid="keep").transform(levels)
     order = (F.desc if descending else F.asc)("probability")
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = levels.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    over = Window.orderBy((F.desc if descending else F.asc)("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+    over = Window.orderBy((F.desc if descending else F.asc)("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     base = sums.select("_b", F.coalesce(F.sum("p").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"))
     return levels.join(F.broadcast(base), "_b").select("probability", "pos", "neg", (F.sum("pos").over(inside) + F.col("p0")).alias("cum_pos"), (F.sum("neg").over(inside) + F.col("n0")).alias("cum_neg"))
 
@@ -84,7 +92,7 @@ def average_precision(scored: DataFrame) -> DataFrame:
     """Step sum over the distinct scores, best first."""
     run = _running(score_levels(scored), descending=True)
     gain = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    return run.agg(F.when(F.sum("pos") == 0, F.lit(0.0)).otherwise(gain / F.sum("pos")).alias("average_precision"))
+    return run.agg(F.when(F.coalesce(F.sum("pos"), F.lit(0)) == 0, F.lit(0.0)).otherwise(gain / F.sum("pos")).alias("average_precision"))
 
 
 def classification_report(scored: DataFrame, threshold: float) -> DataFrame:

@@ -47,7 +47,7 @@ def recall_at_k(candidates: DataFrame, truth: DataFrame, ks: Sequence[int] = TOP
 
 
 def capped_blocks(targets: DataFrame, key: str, cap: int = 500) -> DataFrame:
-    """At most ``cap`` targets of a block, those that come first by hash of their id."""
+    """At most ``cap`` targets of a block, those that come first by hash of their id: a sample, for diagnostics."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.md5("entity_id"), "entity_id"))
     return targets.filter(F.col(key) != "").withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import similarity as sim
 from kinmatch.functions.scoring import ranking_score, sigmoid
-from kinmatch.functions.text import id_list, scripts
-from kinmatch.operators import blocking, features, metrics, model, profile, ranking, records, truth, validate
+from kinmatch.functions.text import SCRIPTS, id_list, scripts
+from kinmatch.operators import blocking, diagnostics, features, metrics, model, profile, ranking, records, truth, validate
 from kinmatch.shipping import ship
 
 S1, TARGET = "source1_entity_id", "target_entity_id"
@@ -360,7 +360,11 @@ def q_norm_documents(spark, d):
     return _table(spark, d, "documents").select("doc_id", normalize("text").alias("norm"))
 
 
-@_add("q_norm_unicode", None)
+#: On texts of composed Latin letters compatibility normalization changes nothing, and of their case folding lower() lacks the sharp s only.
+_UNICODE_SQL = r"trim(regexp_replace(regexp_replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '&', ' and '), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@_add("q_norm_unicode", f"SELECT doc_id, {_UNICODE_SQL} AS norm FROM documents")
 def q_norm_unicode(spark, d):
     from kinmatch.functions.text import normalize
 
@@ -693,7 +697,11 @@ def q_script_pairs(spark, d):
     return profile.script_pairs(_pairs(spark, d), _SN, _TA)
 
 
-@_add("q_scripts", None)
+_KNOWN_SQL = "".join(rf"\p{{{s}}}" for s in SCRIPTS)
+_SCRIPTS_SQL = ", ".join([rf"CASE WHEN regexp_matches(text, '\p{{{s}}}') THEN '{s}' END" for s in SCRIPTS] + [rf"CASE WHEN regexp_matches(regexp_replace(text, '[{_KNOWN_SQL}]', '', 'g'), '\p{{L}}') THEN 'Other' END"])
+
+
+@_add("q_scripts", f"SELECT doc_id, coalesce(nullif(array_to_string(list_sort(list_filter([{_SCRIPTS_SQL}], lambda x: x IS NOT NULL)), '+'), ''), 'None') AS scripts FROM documents")
 def q_scripts(spark, d):
     return _table(spark, d, "documents").select("doc_id", scripts("text").alias("scripts"))
 
@@ -748,3 +756,88 @@ def q_fitted_model(spark, d):
     parts = model.linear_parts(model.fit(table))
     rows = [(f, parts["mean"][f], parts["scale"][f], parts["coefficient"][f]) for f in features.FEATURES]
     return spark.createDataFrame([*rows, ("intercept", 0.0, 1.0, parts["intercept"])], "feature string, mean double, scale double, coefficient double")
+
+
+_TEXTS_SQL = "JOIN a ON a.entity_id = source1_entity_id JOIN t ON t.entity_id = target_entity_id"
+_MEASURES_SQL = {
+    "name_similarity": f"CASE WHEN {_SN} = '' AND {_TN} = '' THEN 0.0 ELSE {FEATURES_SQL['name_similarity']} END",
+    "address_similarity": f"CASE WHEN {_SA} = '' AND {_TA} = '' THEN 0.0 ELSE {FEATURES_SQL['address_similarity']} END",
+    **{m: FEATURES_SQL[m] for m in diagnostics.MEASURES[2:]},
+}
+_NEGATIVE_SQL = f"""{RECORDS_SQL}, {TRUE_SQL}, cap AS (SELECT * FROM t WHERE name_block <> '' QUALIFY row_number() OVER (PARTITION BY name_block ORDER BY md5(entity_id), entity_id) <= 20),
+met AS (SELECT a.entity_id AS source1_entity_id, cap.entity_id AS target_entity_id, substr(cap.entity_id, 1, 2) AS target_source, a.name_norm AS {_SN}, cap.name_norm AS {_TN},
+  a.address_norm AS {_SA}, cap.address_norm AS {_TA}, a.country_norm AS s_country_norm, cap.country_norm AS t_country_norm FROM a JOIN cap ON a.name_block <> '' AND a.name_block = cap.name_block AND a.country_norm = cap.country_norm),
+ms AS (SELECT source1_entity_id, target_entity_id, target_source, """ + ", ".join(f"({s})::DOUBLE AS {m}" for m, s in _MEASURES_SQL.items()) + f""" FROM met),
+sc AS (SELECT *, 0.6 * name_similarity + 0.3 * address_similarity + 0.1 * numeric_overlap AS ranking_score FROM ms),
+ng AS (SELECT sc.* FROM sc ANTI JOIN tp ON tp.source1_entity_id = sc.source1_entity_id AND tp.target_entity_id = sc.target_entity_id WHERE name_similarity >= 0.45
+  QUALIFY row_number() OVER (PARTITION BY sc.source1_entity_id, sc.target_source ORDER BY {_ORDER_SQL.replace("target_entity_id", "sc.target_entity_id")}) <= 5)"""
+
+
+def _negatives(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.block_negatives(*keyed(spark, d), true_pairs(spark, d).select(S1, TARGET), cap=20)
+
+
+_ROUNDED = ", ".join(f"round({m}::DOUBLE, 6) AS {m}" for m in diagnostics.MEASURES)
+
+
+@_add("q_block_negatives", f"WITH {_NEGATIVE_SQL} SELECT source1_entity_id, target_entity_id, target_source, {_ROUNDED}, round(ranking_score, 6) AS ranking_score FROM ng")
+def q_block_negatives(spark, d):
+    """Hard negatives among at most 20 targets of each block; the cap is part of this report."""
+    return rounded(_negatives(spark, d).drop("rank").withColumn("country_same", F.col("country_same").cast("double")))
+
+
+@_add(
+    "q_true_vs_hard_negative",
+    f"WITH {_NEGATIVE_SQL}, pp AS (SELECT tp.*, a.name_norm AS {_SN}, a.address_norm AS {_SA}, a.country_norm AS s_country_norm, t.name_norm AS {_TN}, t.address_norm AS {_TA}, t.country_norm AS t_country_norm FROM tp {_TEXTS_SQL}), "
+    + "pm AS (SELECT source1_entity_id, target_entity_id, target_source, "
+    + ", ".join(f"({s})::DOUBLE AS {m}" for m, s in _MEASURES_SQL.items())
+    + f" FROM pp) SELECT source1_entity_id, target_entity_id, target_source, {_ROUNDED}, 1 AS label FROM pm UNION ALL SELECT source1_entity_id, target_entity_id, target_source, {_ROUNDED}, 0 FROM ng",
+)
+def q_true_vs_hard_negative(spark, d):
+    a, t = keyed(spark, d)
+    both = diagnostics.true_and_negative(true_pairs(spark, d), _negatives(spark, d), a, t)
+    return rounded(both.withColumn("country_same", F.col("country_same").cast("double")))
+
+
+def _script_sql(c: str) -> str:
+    one = ", ".join([rf"CASE WHEN regexp_matches({c}, '\p{{{s}}}') THEN '{s}' END" for s in SCRIPTS] + [rf"CASE WHEN regexp_matches(regexp_replace({c}, '[{_KNOWN_SQL}]', '', 'g'), '\p{{L}}') THEN 'Other' END"])
+    return f"coalesce(nullif(array_to_string(list_sort(list_filter([{one}], lambda x: x IS NOT NULL)), '+'), ''), 'None')"
+
+
+_RAW_SQL = {"s1_name": "a.business_name", "s1_address": "a.business_address", "target_name": "t.business_name", "target_address": "t.business_address"}
+_MATCH_SQL = {
+    "country_same": FEATURES_SQL["country_same"],
+    "name_raw_exact": "(trim(s1_name) = trim(target_name))::INT",
+    "name_normalized_exact": f"({_SN} = {_TN})::INT",
+    "name_ratio": f"round({FEATURES_SQL['name_similarity']}, 6)",
+    "name_jaccard": f"round({FEATURES_SQL['name_jaccard']}, 6)",
+    "address_raw_exact": "(trim(s1_address) = trim(target_address))::INT",
+    "address_normalized_exact": f"({_SA} = {_TA})::INT",
+    "address_ratio": f"round({FEATURES_SQL['address_similarity']}, 6)",
+    "address_jaccard": f"round({FEATURES_SQL['address_jaccard']}, 6)",
+    "name_length_s1": "length(s1_name)",
+    "name_length_target": "length(target_name)",
+    "s1_address_missing": "(trim(s1_address) = '')::INT",
+    "target_address_missing": "(trim(target_address) = '')::INT",
+    "address_numeric_overlap": f"round({FEATURES_SQL['numeric_overlap']}, 6)",
+    "s1_name_script": _script_sql("s1_name"),
+    "target_name_script": _script_sql("target_name"),
+}
+
+
+@_add(
+    "q_match_diagnostics",
+    f"WITH {RECORDS_SQL}, {TRUE_SQL}, p AS (SELECT tp.*, a.name_norm AS {_SN}, a.address_norm AS {_SA}, a.country_norm AS s_country_norm, t.name_norm AS {_TN}, t.address_norm AS {_TA}, t.country_norm AS t_country_norm, "
+    + ", ".join(f"{c} AS {n}" for n, c in _RAW_SQL.items())
+    + f" FROM tp {_TEXTS_SQL}) SELECT source1_entity_id, target_entity_id, target_source, "
+    + ", ".join(f"{c} AS {n}" for n, c in _MATCH_SQL.items())
+    + " FROM p",
+)
+def q_match_diagnostics(spark, d):
+    return rounded(diagnostics.match_diagnostics(true_pairs(spark, d), *keyed(spark, d)))
+
+
+@_add("q_shape", "SELECT position::INT AS position, c AS \"column\", t AS type, (SELECT count(*) FROM documents) AS rows, b AS blank FROM (VALUES (0, 'doc_id', 'bigint', (SELECT count(*) FROM documents WHERE doc_id IS NULL)), (1, 'text', 'string', (SELECT count(*) FROM documents WHERE text IS NULL OR trim(text) = '')), (2, 'lang', 'string', (SELECT count(*) FROM documents WHERE lang IS NULL OR trim(lang) = '')), (3, 'source', 'string', (SELECT count(*) FROM documents WHERE source IS NULL OR trim(source) = '')), (4, 'n_chars', 'bigint', (SELECT count(*) FROM documents WHERE n_chars IS NULL))) v(position, c, t, b)")
+def q_shape(spark, d):
+    """Columns, types and blank values of the documents."""
+    return diagnostics.shape(_table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))

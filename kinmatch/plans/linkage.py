@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmatch.functions.scoring import ranking_score
 from kinmatch.operators import features as feats
-from kinmatch.operators import metrics, model, ranking, records, truth
+from kinmatch.operators import diagnostics, metrics, model, ranking, records, truth
 from kinmatch.operators.blocking import candidates, name_or_address
 from kinmatch.sources import tables
 
@@ -26,6 +27,8 @@ class Settings:
     seed: int = 42
     train_share: float = 0.8
     train_k: int = 50
+    #: Most pairs of a training block that meet as a whole; larger ones need a longer common prefix.
+    block_limit: int | None = 20_000_000
     features: tuple[str, ...] = field(default=feats.FEATURES)
 
 
@@ -43,14 +46,60 @@ def scored_pairs(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFra
     return measured.withColumn("ranking_score", ranking_score())
 
 
-def train(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_lists: DataFrame, settings: Settings = Settings()) -> tuple[PipelineModel, DataFrame, dict]:
-    """(model, scored pairs of the held-out part, metrics) from raw records and truth lists."""
+@dataclass
+class Trained:
+    """What training made: the model, the scored held-out pairs, the metrics, and the tables of its stages."""
+
+    model: PipelineModel
+    held: DataFrame
+    metrics: dict
+    ranked: DataFrame
+    pairs: DataFrame
+    features: DataFrame
+    summary: DataFrame
+
+
+def metrics_document(held: DataFrame, split: DataFrame, settings: Settings, at: float = 0.5) -> dict:
+    """All that is reported of a trained model: its settings, row and class counts, measures and confusion matrix."""
+    counts = {(r["is_train"], r["y"]): r["n"] for r in split.groupBy("is_train", "y").agg(F.count("*").alias("n")).collect()}  # four rows at most
+    at_most = lambda part: [counts.get((part, y), 0) for y in (0, 1)]
+    (neg_train, pos_train), (neg_test, pos_test) = at_most(True), at_most(False)
+    row = metrics.confusion(held, at).crossJoin(metrics.roc_auc(held)).crossJoin(metrics.average_precision(held)).first()
+    measures = {m: None if row[m] is None else float(row[m]) for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "average_precision")}
+    return {
+        "model": "logistic_regression",
+        "random_state": settings.seed,
+        "test_size": round(1 - settings.train_share, 6),
+        "training_rows": neg_train + pos_train,
+        "testing_rows": neg_test + pos_test,
+        "feature_count": len(settings.features),
+        "positive_training": pos_train,
+        "negative_training": neg_train,
+        "positive_testing": pos_test,
+        "negative_testing": neg_test,
+        **measures,
+        "confusion_matrix": [[int(row["tn"]), int(row["fp"])], [int(row["fn"]), int(row["tp"])]],
+    }
+
+
+def top_k_summary(ranked: DataFrame, truth_pairs: DataFrame, ks=ranking.TOP_K) -> DataFrame:
+    """Recall at each k for either source and for both together."""
+    parts = []
+    for source in ("S2", "S3"):
+        mine = ranked.filter(F.col("target_source") == source)
+        true = truth_pairs.filter(F.col("target_source") == source).select("source1_entity_id", "target_entity_id")
+        parts.append(ranking.recall_at_k(mine, true, ks).select(F.lit(source).alias("source"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+def train(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_lists: DataFrame, settings: Settings = Settings()) -> Trained:
+    """A model from raw records and truth lists; the tables are persisted until the caller releases them."""
     n1 = records.with_training_keys(records.normalized(s1, settings.profile)).persist()
     targets = records.with_training_keys(records.normalized(s2.unionByName(s3), settings.profile)).persist()
     chosen = truth.sample(truth_lists, settings.sample, settings.seed).select(F.col("source1_entity_id").alias("entity_id"))
     mine = n1.join(chosen, "entity_id", "left_semi")
-    scored = scored_pairs(name_or_address(mine, targets), mine, targets)
-    best = ranking.top_k(scored, settings.train_k, ranking.by_rank_score(), ("source1_entity_id", "target_source"))
+    scored = scored_pairs(name_or_address(mine, targets, settings.block_limit), mine, targets)
+    best = ranking.top_k(scored, settings.train_k, ranking.by_rank_score(), ("source1_entity_id", "target_source")).persist()
     true = truth.explode_truth(truth_lists).dropDuplicates(["source1_entity_id", "target_entity_id"])
     true = true.join(chosen.withColumnRenamed("entity_id", "source1_entity_id"), "source1_entity_id", "left_semi").filter(F.col("target_source").isNotNull())
     pairs = ranking.training_pairs(best, true)
@@ -58,22 +107,59 @@ def train(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_lists: DataFrame, s
     split = truth.stratified_split(table, "y", settings.train_share, settings.seed).persist()
     fitted = model.fit(split.filter("is_train"), settings.features)
     held = model.predict(fitted, split.filter(~F.col("is_train")), settings.features).persist()
-    values = metrics.confusion(held, 0.5).crossJoin(metrics.roc_auc(held)).crossJoin(metrics.average_precision(held)).first().asDict()
-    for df in (n1, targets, split):
-        df.unpersist()
-    return fitted, held, values
+    values = metrics_document(held, split, settings)
+    keys = ["source1_entity_id", "target_entity_id", "target_source", "y"]
+    features = split.select(*keys, *settings.features)
+    return Trained(fitted, held, values, best, features.select(*keys), features, top_k_summary(best, true))
 
 
 def run_training(spark: SparkSession, train_dir: str, bundle: str, out_dir: str, settings: Settings = Settings()) -> dict:
-    """Read the training tables, write the model bundle, its metrics and the threshold sweep of the held-out pairs."""
+    """Read the training tables; write the model bundle, its metrics and threshold sweep, and the tables of every stage.
+
+    ``candidates`` holds the ranked candidates (any k by its rank), ``top_k_summary`` their recall,
+    ``training_pairs`` and ``training_features`` what the model was fitted on: a later run can start from any of them.
+    """
     s1, s2, s3 = (tables.read_tsv(spark, f"{train_dir}/train_source{i}.tsv") for i in (1, 2, 3))
     lists = tables.read_tsv(spark, f"{train_dir}/train_ground_truth.tsv", tables.TRUTH_SCHEMA)
-    fitted, held, values = train(s1, s2, s3, lists, settings)
-    tables.save_bundle(fitted, settings.features, bundle)
-    tables.write_metrics(spark, {k: float(v) for k, v in values.items()}, f"{out_dir}/metrics")
-    tables.write_tsv(metrics.threshold_sweep(held), f"{out_dir}/threshold_results", ["threshold"])
-    held.unpersist()
-    return values
+    made = train(s1, s2, s3, lists, settings)
+    order = ["source1_entity_id", "target_source", "target_entity_id"]
+    tables.save_bundle(made.model, settings.features, bundle)
+    tables.write_metrics(spark, made.metrics, f"{out_dir}/metrics")
+    tables.save_top_k(made.ranked, f"{out_dir}/candidates")
+    tables.write_tsv(made.summary, f"{out_dir}/top_k_summary", ["source", "top_k"])
+    tables.write_tsv(made.pairs, f"{out_dir}/training_pairs", order)
+    tables.write_tsv(made.features, f"{out_dir}/training_features", order)
+    tables.write_tsv(metrics.threshold_sweep(made.held), f"{out_dir}/threshold_results", ["threshold"])
+    tables.write_tsv(metrics.classification_report(made.held, settings.threshold), f"{out_dir}/classification_report", ["label"])
+    return made.metrics
+
+
+def run_sweep(spark: SparkSession, features: str, bundle: str, out: str) -> DataFrame:
+    """Score a written feature table with a bundle; write and return the threshold sweep."""
+    fitted, names = tables.load_bundle(spark, bundle)
+    schema = T.StructType([*tables.PAIR_SCHEMA.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    table = spark.read.schema(schema).csv(features, sep="\t", header=True, enforceSchema=False)
+    sweep = metrics.threshold_sweep(model.predict(fitted, table, names))
+    tables.write_tsv(sweep, out, ["threshold"])
+    return sweep
+
+
+def run_diagnostics(spark: SparkSession, train_dir: str, out_dir: str, settings: Settings = Settings()) -> None:
+    """Write what true pairs and hard negatives look like: ``hard_negative_pairs``, ``true_vs_hard_negative`` and ``true_match_pairs``."""
+    s1, s2, s3 = (tables.read_tsv(spark, f"{train_dir}/train_source{i}.tsv") for i in (1, 2, 3))
+    lists = tables.read_tsv(spark, f"{train_dir}/train_ground_truth.tsv", tables.TRUTH_SCHEMA)
+    raw = s2.unionByName(s3)
+    n1, targets = (records.with_training_keys(records.normalized(d, settings.profile)).persist() for d in (s1, raw))
+    chosen = truth.sample(lists, settings.sample, settings.seed).select("source1_entity_id")
+    mine = n1.join(chosen.withColumnRenamed("source1_entity_id", "entity_id"), "entity_id", "left_semi")
+    true = truth.explode_truth(lists).join(chosen, "source1_entity_id", "left_semi").filter(F.col("target_source").isNotNull()).dropDuplicates(["source1_entity_id", "target_entity_id"]).persist()
+    negatives = diagnostics.block_negatives(mine, targets, true.select("source1_entity_id", "target_entity_id")).drop("rank").persist()
+    order = ["source1_entity_id", "target_source", "target_entity_id"]
+    tables.write_csv(diagnostics.with_texts(negatives, s1, raw), f"{out_dir}/hard_negative_pairs", order)
+    tables.write_csv(diagnostics.true_and_negative(true, negatives, mine, targets), f"{out_dir}/true_vs_hard_negative", [*order, "label"])
+    tables.write_csv(diagnostics.match_diagnostics(true, mine, targets), f"{out_dir}/true_match_pairs", order)
+    for df in (n1, targets, true, negatives):
+        df.unpersist()
 
 
 def infer(s1: DataFrame, s2: DataFrame, s3: DataFrame, fitted: PipelineModel, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

@@ -38,22 +38,35 @@ def ids_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_lines(spark: SparkSession, path: str, header: Sequence[str]) -> tuple[str | None, DataFrame | None]:
-    """(problem, body lines) of a written list; a problem means that it cannot be read further."""
+    """(problem, body lines) of a written list; a problem means that it cannot be read further.
+
+    The header is the first line of the first part by name. A list that Spark wrote has one at the top of each
+    part; any further line that looks like it is a body line, so that it is reported.
+    """
     from pyspark.errors import AnalysisException
 
     try:
-        lines = spark.read.text(path)
-        first = lines.first()
+        lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+        tops = lines.groupBy("_file").agg(F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_top"))
+        first = tops.orderBy("_file").first()
     except AnalysisException:
         return f"{path}: not found", None
     if first is None:
         return f"{path}: empty", None
-    top = first["value"]
+    top = first["_top"]
     if "\t" not in top and "," in top:
         return f"{path}: separated by commas, not tabs", None
     if [c.strip().lower() for c in top.split("\t")] != list(header):
         return f"{path}: unexpected header {top!r}", None
-    return None, lines.filter(F.col("value") != top)
+    if bad := undecodable(spark, path):
+        return f"{path}: {bad} lines are no UTF-8", None
+    heads = F.broadcast(tops.filter(F.col("_top") == top).select("_file", "_first"))  # one row a file
+    return None, lines.join(heads, (lines["_file"] == heads["_file"]) & (lines["_at"] == heads["_first"]), "left_anti").select("value")
+
+
+def undecodable(spark: SparkSession, path: str) -> int:
+    """Lines that hold bytes which are no UTF-8."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).count()
 
 
 def write_tsv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
@@ -62,8 +75,27 @@ def write_tsv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
 
 
 def write_single_tsv(df: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A single sorted part, for consumers that take one file."""
-    write_tsv(df.orderBy(*order).coalesce(1), path)
+    """One sorted file with one header: sorted parts are written by all tasks and then copied together, byte by byte."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    df.orderBy(*order).select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value")).write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+        for status in sorted(fs.listStatus(folder), key=lambda f: f.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                part = fs.open(status.getPath())
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def save_top_k(ranked: DataFrame, path: str) -> None:
@@ -75,6 +107,21 @@ def load_top_k(spark: SparkSession, path: str, source: str, k: int) -> DataFrame
     return spark.read.parquet(path).filter((F.col("target_source") == source) & (F.col("rank") <= k))
 
 
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """Comma-separated with quoting, for diagnostics."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled pairs as :func:`write_tsv` writes them, typed; the label must be there."""
+    return spark.read.schema(PAIR_SCHEMA).csv(path, sep="\t", header=True, enforceSchema=False)
+
+
+def sampled_ids(spark: SparkSession, path: str, column: str = "source1_entity_id") -> DataFrame:
+    """The different ids that a written table names in ``column``."""
+    return spark.read.csv(path, sep="\t", header=True).select(column).distinct()
+
+
 def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
     """A small JSON document, through Spark's file systems."""
     spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

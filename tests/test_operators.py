@@ -124,3 +124,53 @@ def test_empty_tables(spark, small):
     none = t.limit(0)
     assert blocking.candidates(s1, none).count() == 0
     assert metrics.roc_auc(spark.createDataFrame([], "probability double, y int")).first()[0] is None
+
+
+def test_rank_measures_on_piled_up_scores(spark):
+    """Nearly all scores lie next to 0 and 1; ranges follow them, and the measures are those of plain Python."""
+    import random
+
+    from kinmatch.operators import metrics
+
+    rng = random.Random(5)
+    rows = [(rng.random() ** 12 if rng.random() < 0.7 else 1 - rng.random() ** 12, int(rng.random() < 0.3)) for _ in range(4000)]
+    rows = [(round(p, 9), y) for p, y in rows] + [(None, 1)]
+    df = spark.createDataFrame(rows, "probability double, y int")
+    levels = metrics.score_levels(df)
+    assert metrics._running(levels, False).count() == len({p for p, _ in rows if p is not None})
+    known = [r for r in rows if r[0] is not None]
+    pos, neg = [p for p, y in known if y], [p for p, y in known if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(auc, abs=1e-9)
+    total = hit = 0
+    gain = 0.0
+    by = {}
+    for p, y in known:
+        by.setdefault(p, [0, 0])[y] += 1
+    for p in sorted(by, reverse=True):
+        total += sum(by[p])
+        hit += by[p][1]
+        gain += by[p][1] * hit / total
+    assert metrics.average_precision(df).first()[0] == pytest.approx(gain / len(pos), abs=1e-9)
+    assert metrics.roc_auc(df.limit(0)).first()[0] is None and metrics.average_precision(df.limit(0)).first()[0] == 0.0
+
+
+def test_closed_training_blocks_need_longer_keys(spark):
+    from kinmatch.operators import blocking, records
+
+    make = lambda tag, n: records.with_training_keys(records.normalized(spark.createDataFrame([(f"{tag}-{i}", name, "", "IN") for i, name in enumerate(["acme trading 1", "acme trading 2", "acme trust", "acme", "zebra"] * n)], "entity_id string, business_name string, business_address string, country string")))
+    s1, target = make("S1", 1), make("S2", 2)
+    pairs = lambda limit: {tuple(r) for r in blocking.name_or_address(s1, target, limit).collect()}
+    every = pairs(None)
+    assert len(every) == 4 * 8 + 2 and pairs(1000) == every
+    eight = {(a, b) for a, b in every if (int(a[3:]) < 2) == (int(b[3:]) % 5 < 2) and (int(a[3:]) < 2 or int(a[3:]) == int(b[3:]) % 5)}
+    assert pairs(10) == eight
+    assert pairs(1) == {(a, b) for a, b in every if int(a[3:]) == int(b[3:]) % 5}
+
+
+def test_shape_and_shown(spark):
+    from kinmatch.operators import diagnostics
+
+    df = spark.createDataFrame([(1, "a", 0.5), (2, " ", None), (None, None, 1.0)], "i long, s string, d double")
+    assert [tuple(r) for r in diagnostics.shape(df).collect()] == [(0, "i", "bigint", 3, 1), (1, "s", "string", 3, 2), (2, "d", "double", 3, 1)]
+    assert diagnostics.shown(df).splitlines()[:2] == ["i  s  d", "1  a  0.500000"]
