@@ -37,7 +37,7 @@ from kinmatch.llm.labelled import fit_logistic, labelled_sample, logistic
 
 WINDOW = 32
 #: Words of context that a state has on either side at least, and words of a piece between them.
-MARGIN, PIECE = 16, 96
+MARGIN, PIECE = 16, 128
 SIZE, HIDDEN, ATTENTION = 12, 8, 8
 #: Labelled texts of each class that the model is fitted on.
 PER_CLASS = 1200
@@ -160,10 +160,6 @@ def placed(bounds: np.ndarray, text: np.ndarray, start: np.ndarray, length: int)
     return np.where(inside, bounds[text][:, None] + at, bounds[-1])
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
-
-
 @dataclass
 class Network:
     """Vectors of the inputs, weights of the two GRU directions, the attention, and the window's logistic unit."""
@@ -185,20 +181,29 @@ class Network:
     def _direction(self, x: np.ndarray, d: str, keep: bool):
         """States (n, length, HIDDEN); the last input is 1 for a word and 0 for padding, which leaves the state as it is."""
         p, n, length = self.params, HIDDEN, x.shape[1]
-        gates = x @ p[f"W{d}"] + p[f"c{d}"]
-        real = x[:, :, -1:]
+        xt = np.ascontiguousarray(x.transpose(1, 0, 2))  # word by word, so that each step reads and writes one run of memory
+        gates = (xt.reshape(-1, xt.shape[2]) @ p[f"W{d}"] + p[f"c{d}"]).reshape(length, len(x), 3 * n)
+        real = xt[:, :, -1:]
         h = np.zeros((len(x), n), x.dtype)
-        states, tape = np.empty((len(x), length, n), x.dtype), []
+        states, tape = np.empty((length, len(x), n), x.dtype), []
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            g, r = gates[:, t], h @ p[f"U{d}"]
-            zr = _sigmoid(g[:, : 2 * n] + r[:, : 2 * n])
+            r = h @ p[f"U{d}"]
+            zr = gates[t, :, : 2 * n] + r[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             update, reset = zr[:, :n], zr[:, n:]
-            new = np.tanh(g[:, 2 * n :] + reset * r[:, 2 * n :])
-            after = h + real[:, t] * update * (new - h)
+            new = reset * r[:, 2 * n :]
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep:
                 tape.append((t, h, update, reset, new, r[:, 2 * n :]))
-            states[:, t] = h = after
-        return states, tape
+            move = new - h
+            move *= update
+            move *= real[t]
+            h = np.add(h, move, out=states[t])
+        return states.transpose(1, 0, 2), tape
 
     def states(self, x: np.ndarray, keep: bool = False):
         (sf, tf), (sb, tb) = self._direction(x, "f", keep), self._direction(x, "b", keep)
