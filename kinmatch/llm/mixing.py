@@ -13,7 +13,9 @@ choices the one whose words come nearest to the expected ones.
 
 Defined results: null texts have size 0; a null source is a source of its own
 and comes last; sources without words have target 0; equal rows are decided
-each; a document is taken at most twice; an empty table gives an empty mix.
+each, and many rows with one id (or none) and one size are dealt out by their
+place in the table; a document is taken at most twice; an empty table gives an
+empty mix.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import WORD_CLASS, materialize, table
+from kinmatch.llm.common import WORD_CLASS, match_nulls, materialize, small, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -122,11 +124,23 @@ def _decide(last: bool):
     return run
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``salt``: 0, but for more rows of one source, id and size than a block holds, which it spreads over blocks."""
+    same = ["source", "doc_id", "size"]
+    hot = materialize(rows.groupBy(*same).agg(F.count("*").alias("copies")).filter(F.col("copies") > BLOCK_DOCS // 4), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("salt", F.lit(0).cast("long"))
+    hot = small(hot.select(*(F.col(c).alias(f"_{c}") for c in same)))
+    met = rows.join(hot, match_nulls(rows, hot, {c: f"_{c}" for c in same}), "left")
+    return met.select(*rows.columns, F.when(F.col("_size").isNotNull(), F.col("row") + 1).otherwise(0).cast("long").alias("salt"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row per input row."""
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long")
-    rows = materialize(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    rows = materialize(docs.select("doc_id", "source", size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    rows = _salted(rows)
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -136,9 +150,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = rows.join(F.broadcast(known) if len(listed) <= 10_000 else known, F.col("source").eqNullSafe(F.col("name"))).withColumn("rate", rate)
     at = at.withColumn("base", F.floor("rate")).withColumn("p", F.col("rate") - F.col("base"))
-    columns = "doc_id long, source string, size long, source_size long, target double, base long, p double, docs long, block long"
+    columns = "doc_id long, source string, size long, source_size long, target double, base long, p double, docs long, salt long, block long"
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("docs") / BLOCK_DOCS))
-    todo = at.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), blocks)).select(*[c.split()[0] for c in columns.split(", ")])
+    todo = at.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "salt"), blocks)).select(*[c.split()[0] for c in columns.split(", ")])
     most_docs, done = max((r["docs"] for r in per), default=0), []
     while True:
         last = most_docs <= BLOCK_DOCS
@@ -150,7 +164,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
         done.append(todo.filter(~undecided))
         # at most two go on from each block, so each level is smaller by about BLOCK_DOCS / 2
         todo = todo.filter(undecided).withColumn("docs", F.ceil(F.col("docs") / BLOCK_DOCS) * 2)
-        todo = todo.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(len(done))), blocks))
+        todo = todo.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "salt", F.lit(len(done))), blocks))
         most_docs = 2 * -(-most_docs // BLOCK_DOCS)
     out = done[0]
     for more in done[1:]:

@@ -34,9 +34,10 @@ def test_flight_keeps_totals():
 
 
 def test_flight_respects_probabilities():
-    p, size = np.array([0.2, 0.5, 0.7, 0.6, 0.4, 0.3]), np.array([3, 3, 3, 3, 3, 3])
-    mean = np.mean([mixing.landing(mixing.flight(p, size, np.random.default_rng(s)), size) for s in range(4000)], axis=0)
-    assert mean.sum() == pytest.approx(p.sum(), abs=0.6)
+    """Every document keeps its own inclusion probability on average, whatever its size."""
+    p, size = np.array([0.2, 0.5, 0.7, 0.6, 0.4, 0.3, 0.9]), np.array([3, 40, 7, 11, 3, 250, 8])
+    mean = np.mean([mixing.flight(p, size, np.random.default_rng(s)) for s in range(6000)], axis=0)
+    assert np.abs(mean - p).max() < 0.03
 
 
 ROWS = [(i, "w " * (1 + i % 50), ["a", "b", None][i % 3]) for i in range(3000)] + [(7, "w w", "a"), (7, "w w", "a"), (None, "w", "b"), (9000, None, "c"), (9001, "", "c")]
@@ -56,6 +57,16 @@ def test_mix(spark):
     assert all(abs(sum(t) - goal) <= 60 for (_, goal), t in by.items())
 
 
+def test_many_rows_with_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 64)
+    rows = [(None, "w w w", "a")] * 4000 + [(i, "w " * (1 + i % 9), "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    at = mixing._salted(df.withColumn("size", F.lit(3).cast("long")).withColumn("row", F.monotonically_increasing_id()))
+    assert at.filter("doc_id IS NULL").select("salt").distinct().count() == 4000 and at.filter("doc_id IS NOT NULL AND salt <> 0").count() == 0
+    out = mixing.mix_sources(df).groupBy("source_size").agg(F.sum("taken").alias("t"), F.max("target").alias("goal"), F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in out) == [2000, 4000] and all(abs(r["t"] - r["goal"]) <= 12 for r in out)
+
+
 def test_empty_table(spark):
     assert mixed(spark, ROWS[:1]).count() == 1
     df = spark.createDataFrame([], "doc_id long, text string, source string")
