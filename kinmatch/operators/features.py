@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.functions.scoring import RANK_WEIGHTS, ranking_score
 from kinmatch.functions.similarity import containment, exact_present, jaccard, jaro_winkler, lcs_ratio, length_ratio, numeric_tokens, token_overlap, tokens
 from kinmatch.functions.text import text
 
@@ -78,3 +79,15 @@ def fast_features() -> dict[str, Column]:
 def feature_table(pairs: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """``pairs`` with the 18 features."""
     return attach(pairs, s1, targets).select(*pairs.columns, *(c.alias(n) for n, c in exact_features().items()))
+
+
+#: The measures of the ranking diagnostics.
+RANKING = ("name_similarity", "name_jaccard", "address_similarity", "address_jaccard", "numeric_overlap", "country_same", "ranking_score")
+
+
+def ranking_features(pairs: DataFrame, s1: DataFrame, targets: DataFrame, diagnostics: bool = True) -> DataFrame:
+    """``pairs`` with the weighted score and the three similarities it is made of; with ``diagnostics`` all seven measures."""
+    made = exact_features()
+    wanted = [f for f in RANKING[:-1] if diagnostics or f in RANK_WEIGHTS]
+    out = attach(pairs, s1, targets).select(*pairs.columns, *(made[f].alias(f) for f in wanted))
+    return out.withColumn("ranking_score", ranking_score())

@@ -45,3 +45,13 @@ def retrieve(records: DataFrame, ids: DataFrame, column: str = "entity_id") -> D
 def not_found(records: DataFrame, ids: DataFrame, column: str = "entity_id") -> DataFrame:
     """Wanted ids without a record."""
     return ids.select(F.col(column).alias("entity_id")).distinct().join(records.select("entity_id"), "entity_id", "left_anti")
+
+
+def point(records: DataFrame, entity_id: str) -> DataFrame:
+    """The record of one id; the filter reaches the scan."""
+    return records.filter(F.col("entity_id") == entity_id).limit(1)
+
+
+def retrieve_reported(records: DataFrame, ids: DataFrame, column: str = "entity_id") -> tuple[DataFrame, int]:
+    """(records, number of wanted ids without one); without any hit the records are empty with the same columns."""
+    return retrieve(records, ids, column), not_found(records, ids, column).count()

@@ -39,6 +39,17 @@ def sample(df: DataFrame, n: int, seed: int = 42, key: str = "source1_entity_id"
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
+def matched_sample(truth: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """:func:`sample` among the records that have a match."""
+    return sample(match_counts(truth).filter("n_matches > 0").select("source1_entity_id"), n, seed)
+
+
+def first_match(truth: DataFrame, source: str = "S2") -> DataFrame:
+    """Every record with its first listed target of ``source``, null without one."""
+    ids = F.filter(id_list("matched_entity_ids"), lambda x: x.startswith(f"{source}-"))
+    return truth.select("source1_entity_id", F.try_element_at(ids, F.lit(1)).alias("target_entity_id"))
+
+
 def stratified_sample(df: DataFrame, stratum: str, n: int, seed: int = 42, key: str = "source1_entity_id") -> DataFrame:
     """At most ``n`` rows of each stratum."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(key, seed), key))
