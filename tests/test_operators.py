@@ -174,3 +174,37 @@ def test_shape_and_shown(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (2, " ", None), (None, None, 1.0)], "i long, s string, d double")
     assert [tuple(r) for r in diagnostics.shape(df).collect()] == [(0, "i", "bigint", 3, 1), (1, "s", "string", 3, 2), (2, "d", "double", 3, 1)]
     assert diagnostics.shown(df).splitlines()[:2] == ["i  s  d", "1  a  0.500000"]
+
+
+def test_lookups_and_ranking_features(spark):
+    truth_lists = spark.createDataFrame([("S1-1", "S3-1,S2-2,S2-1"), ("S1-2", ""), ("S1-3", "S3-9")], "source1_entity_id string, matched_entity_ids string")
+    assert sorted(r[0] for r in truth.matched_sample(truth_lists, 10).collect()) == ["S1-1", "S1-3"]
+    assert {tuple(r) for r in truth.first_match(truth_lists).collect()} == {("S1-1", "S2-2"), ("S1-2", None), ("S1-3", None)}
+    raw = people(spark, [("S1-1", "Acme Ltd", "1 Main Road", "IN"), ("S1-2", "", "", "IN")])
+    assert records.point(raw, "S1-2").count() == 1 and records.point(raw, "S1-9").count() == 0
+    wanted = spark.createDataFrame([("S1-1",), ("S1-7",)], "entity_id string")
+    found, missing = records.retrieve_reported(raw, wanted)
+    assert [r["entity_id"] for r in found.collect()] == ["S1-1"] and missing == 1
+    assert records.retrieve_reported(raw, wanted.limit(0))[0].columns == raw.columns
+    target = people(spark, [("S2-1", "ACME ltd", "1 Main", "in")])
+    pairs = spark.createDataFrame([("S1-1", "S2-1")], "source1_entity_id string, target_entity_id string")
+    sides = [records.normalized(d) for d in (raw, target)]
+    row = features.ranking_features(pairs, *sides).first()
+    assert row.asDict().keys() == {"source1_entity_id", "target_entity_id", *features.RANKING}
+    assert row["name_similarity"] == 1.0 and row["ranking_score"] == pytest.approx(0.6 + 0.3 * row["address_similarity"] + 0.1)
+    assert "name_jaccard" not in features.ranking_features(pairs, *sides, diagnostics=False).columns
+
+
+def test_first_header_and_bad_bytes(spark, tmp_path):
+    from kinmatch.sources import tables
+
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}").write_text(f"a\tb\nx{i}\t1\n")
+    problem, body = tables.list_lines(spark, str(folder), ["a", "b"])
+    assert problem is None and sorted(r[0] for r in body.collect()) == ["x0\t1", "x1\t1", "x2\t1"]
+    (folder / "part-3").write_bytes(b"a\tb\ny\t\xff\n")
+    assert "UTF-8" in tables.list_lines(spark, str(folder), ["a", "b"])[0]
+    (tmp_path / "empty.tsv").write_text("")
+    assert "empty" in tables.list_lines(spark, str(tmp_path / "empty.tsv"), ["a", "b"])[0]
