@@ -36,15 +36,14 @@ def _compatible(s: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column | str, profile: str = "ascii") -> Column:
-    """Lower case, punctuation to blanks, blanks collapsed and trimmed; "unicode" also spells out ``&``."""
+    """Lower case, runs of anything but letters, digits and underscores to one blank, trimmed; "unicode" also spells out ``&``."""
     if profile == "ascii":
-        kept, other = F.lower(text(c)), r"[^a-z0-9_\s]"
+        kept, other = F.lower(text(c)), r"[^a-z0-9_]+"
     elif profile == "unicode":
-        kept, other = F.replace(_compatible(text(c)), F.lit("&"), F.lit(" and ")), r"(?U)[^\p{L}\p{N}_\s]"
+        kept, other = F.replace(_compatible(text(c)), F.lit("&"), F.lit(" and ")), r"(?U)[^\p{L}\p{N}_]+"
     else:
         raise ValueError(f"unknown profile {profile!r}")
-    flags = "(?U)" if profile == "unicode" else ""
-    return F.trim(F.regexp_replace(F.regexp_replace(kept, other, " "), rf"{flags}\s+", " "))
+    return F.trim(F.regexp_replace(kept, other, " "))
 
 
 def country_key(c: Column | str) -> Column:
