@@ -7,17 +7,17 @@
    other class has cannot collide and go first.
 3. A pair above the match threshold agrees in at least T coordinates, so a
    class with fewer than T shared values has no partner, and one with n of
-   them need only be posted under its n - T + 2 rarest: such a pair meets at
-   least twice there (prefix filter). The longer lists, those of lines that
-   many texts share, are skipped, and what a pair has in common in them is
-   looked up in the signatures.
+   them need only be posted under its n - T + 1 rarest (prefix filter). The
+   longer lists, those of lines that many texts share, are skipped, and what
+   a pair has in common in them is looked up in the signatures.
 4. Members of a list are first held against two of its members, the smallest
-   and the largest. Confirmed links are contracted; what still lies in
-   different components of one list is compared exhaustively inside a join on
-   the list. There a pair counts its common postings, meets under the first of
-   them only, and is dropped if it has fewer than two or if sketches of 2048
-   bits show that it is too far below the threshold, so that of a group whose
-   members resemble each other just too little few pairs leave the join.
+   and the largest, then those outside the list's main component against a
+   few of that component. Confirmed links are contracted each time. What is
+   still outside the main component of a list is compared with all of the
+   list inside a join on it, under the first common posting of a pair only,
+   and dropped there if sketches of 2048 bits show that it is too far below
+   the threshold, so that of a group whose members resemble each other just
+   too little few pairs leave the join.
 5. Pairs with T agreeing coordinates are confirmed on the full shingle sets.
 
 Guarantee: the confirmation is exact; a link of similarity 0.8 is missed as a
@@ -48,8 +48,8 @@ from kinmatch.llm.components import connected_components
 COORDINATES = 64
 #: Coordinates that must agree before a pair is confirmed on full sets.
 MATCHES = 36
-#: Postings that such a pair shares at least, and by which prefixes are longer than one common posting needs.
-LEAST_MET = 2
+#: Members of a list's main component that its other members are held against before the exhaustive pass.
+PIVOTS = 4
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LOW = np.uint64(COORDINATES - 1)
@@ -168,8 +168,8 @@ def collisions(left: str, right: str):
     return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def prefix_posts(reps: DataFrame, matches: int, met: int) -> DataFrame:
-    """(node, n, key): each class under its rarest shared values, so many that a pair with enough matches meets ``met`` times."""
+def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
+    """(node, n, key): each class under its rarest shared values, as many as the threshold needs."""
     posts = reps.select("node", "n", F.explode("sig").alias("key"))
     shared = materialize(posts.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "lists")
     held = posts.join(shared, "key")
@@ -177,7 +177,7 @@ def prefix_posts(reps: DataFrame, matches: int, met: int) -> DataFrame:
         held.groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("listed", "key"))).alias("by"))
         .filter(F.size("by") >= matches)
-        .select("node", "n", F.explode(F.slice("by", F.lit(1), F.size("by") - (matches - met))).alias("p"))
+        .select("node", "n", F.explode(F.slice("by", F.lit(1), F.size("by") - (matches - 1))).alias("p"))
     )
     return materialize(ranked.select("node", "n", F.col("p.key").alias("key")), "posts")
 
@@ -214,42 +214,56 @@ def class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return sets if sets.count() == classes.count() else materialize(sets.dropDuplicates(["node"]), "sets")
 
 
-def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: int) -> DataFrame:
-    """Components (node, component) of the classes that have a link, from confirmed links that span each."""
-    posts = prefix_posts(reps, matches, LEAST_MET)
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    wanted = reps.select("node", "low", "k0", "k1").join(posts.select("node").distinct(), "node", "left_semi")
-    sets = class_sets(docs, materialize(wanted, "wanted"), width)
-    ends = posts.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("lo"), F.max_by(F.struct("node", "n"), "node").alias("hi"), F.count("*").alias("listed")).filter("listed > 1")
-    ends = materialize(ends.select("key", F.explode(F.array("lo", "hi")).alias("end")), "ends")
-    star = (
+def _met(posts: DataFrame, pivots: DataFrame, close) -> DataFrame:
+    """Pairs (a, b) of the members of each list with its pivots (key, end)."""
+    return (
         posts.select("key", F.col("node").alias("x"), F.col("n").alias("na"))
-        .join(ends.select("key", F.col("end.node").alias("y"), F.col("end.n").alias("nb")), "key")
+        .join(pivots.select("key", F.col("end.node").alias("y"), F.col("end.n").alias("nb")), "key")
         .filter(F.col("x") != F.col("y"))
         .filter(close)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    found = _confirmed(_colliding(star, reps, matches), sets, percent)
+
+
+def _open_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, n, component, main) of the lists whose members lie in several components; ``main`` is the component with the most of them."""
     comps = materialize(connected_components(found), "comps")
-    placed = materialize(
-        posts.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed"
-    )
-    open_lists = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-    rest = materialize(placed.join(materialize(open_lists, "open"), "key", "left_semi"), "rest")
-    # Each pair meets once, under the first of its common postings, of which it has enough, and only if its fine
-    # sketches are near enough.
-    nodes = rest.select("node").distinct()
+    placed = materialize(posts.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    return materialize(placed.join(materialize(main, "main"), "key"), "open")
+
+
+def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: int) -> DataFrame:
+    """Components (node, component) of the classes that have a link, from confirmed links that span each."""
+    posts = prefix_posts(reps, matches)
+    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    wanted = reps.select("node", "low", "k0", "k1").join(posts.select("node").distinct(), "node", "left_semi")
+    sets = class_sets(docs, materialize(wanted, "wanted"), width)
+    member = F.struct("node", "n")
+    ends = posts.groupBy("key").agg(F.min_by(member, "node").alias("lo"), F.max_by(member, "node").alias("hi"), F.count("*").alias("listed")).filter("listed > 1")
+    ends = materialize(ends.select("key", F.explode(F.array("lo", "hi")).alias("end")), "ends")
+    found = _confirmed(_colliding(_met(posts, ends, close), reps, matches), sets, percent)
+    held = _open_lists(posts, found)
+    picked = held.filter(F.col("component") == F.col("main")).groupBy("key").agg(*(F.min_by(member, F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    pivots = materialize(picked.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("end")), "pivots")
+    apart = held.filter(F.col("component") != F.col("main"))
+    found = materialize(found.unionByName(_confirmed(_colliding(_met(apart, pivots, close), reps, matches), sets, percent)), "found")
+    # What is left: the members outside the main component of a list against all of the list. Each pair meets once,
+    # under the first of its common postings, and only if its fine sketches are near enough.
+    held = _open_lists(posts, found)
+    nodes = held.select("node").distinct()
     fine = materialize(sets.join(nodes, "node", "left_semi").mapInArrow(_fine, "node long, fine array<long>"), "fine")
     keys = materialize(posts.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
-    rest = materialize(rest.join(fine, "node").join(keys, "node"), "rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("fine").alias("fa"), F.col("keys").alias("ka"))
+    rest = materialize(held.join(fine, "node").join(keys, "node"), "rest")
+    left = rest.filter("component <> main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("fine").alias("fa"), F.col("keys").alias("ka"))
     right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("fine").alias("fb"), F.col("keys").alias("kb"))
-    common = F.array_intersect("ka", "kb")
-    once = (F.size(common) >= LEAST_MET) & (F.array_min(common) == left["key"])
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close
-    cross = left.join(right, (left["key"] == right["key"]) & apart & (bits_apart("fa", "fb") <= FINE_APART) & once)
-    more = _confirmed(_colliding(materialize(cross.select("a", "b"), "cross"), reps, matches), sets, percent)
+    other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close
+    once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
+    cross = left.join(right, (left["key"] == right["key"]) & other & (bits_apart("fa", "fb") <= FINE_APART) & once)
+    cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    more = _confirmed(_colliding(cross, reps, matches), sets, percent)
     return materialize(connected_components(materialize(found.unionByName(more), "every")), "comps")
 
 
