@@ -15,7 +15,7 @@
    few of that component. Confirmed links are contracted each time. What is
    still outside the main component of a list is compared with all of the
    list inside a join on it, under the first common posting of a pair only,
-   and dropped there if sketches of 2048 bits show that it is too far below
+   and dropped there if sketches of 4096 bits show that it is too far below
    the threshold, so that of a group whose members resemble each other just
    too little few pairs leave the join.
 5. Pairs with T agreeing coordinates are confirmed on the full shingle sets.
@@ -23,7 +23,7 @@
 Guarantee: the confirmation is exact; a link of similarity 0.8 is missed as a
 candidate with probability below 1e-5 (tails of the binomial distribution:
 fewer than 36 of 64 coordinates agree in 4.2e-6 of such links, and more than
-275 of 2048 bits differ in 3.2e-7).
+500 of 4096 bits, or 92 of the first 512, differ in 2.2e-6).
 
 Defined results: null and empty texts, and texts without words, have an empty
 set, are linked with nothing and are their own component; fewer words than a
@@ -49,7 +49,7 @@ COORDINATES = 64
 #: Coordinates that must agree before a pair is confirmed on full sets.
 MATCHES = 36
 #: Members of a list's main component that its other members are held against before the exhaustive pass.
-PIVOTS = 4
+PIVOTS = 3
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _LOW = np.uint64(COORDINATES - 1)
@@ -130,14 +130,16 @@ def _set_builder(width: int):
 
 
 #: Bits of the fine sketch, and how many may differ: at similarity 0.8 a tenth of them is expected to,
-#: and more than this limit with probability 3.2e-7.
-FINE_BITS = 2048
-FINE_APART = 275
+#: and more than this limit with probability 2.2e-6.
+FINE_BITS = 4096
+FINE_APART = 500
+#: The same for the first words of the sketch, which are compared first.
+FIRST_WORDS, FIRST_APART = 8, 92
 _FINE_SEEDS = mix(np.arange(1001, 1001 + FINE_BITS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One bit of each of 2048 further minima, packed into 32 words a set."""
+    """One bit of each of ``FINE_BITS`` further minima, packed into words of 64."""
     bits = np.empty((len(sets), FINE_BITS), bool)
     starts = np.concatenate([[0], np.cumsum([s.size for s in sets])[:-1]])
     joined = np.concatenate(sets)
@@ -159,8 +161,9 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "fine"])
 
 
-def bits_apart(left: str, right: str):
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(FINE_BITS // 64)))
+def bits_apart(left: str, right: str, words: int = FINE_BITS // 64):
+    """How many bits of two sketches differ, the words being columns: short code, which the JVM compiles."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(words)))
 
 
 def collisions(left: str, right: str):
@@ -193,14 +196,14 @@ def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int | None = None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; with ``matches`` the signatures in ``sets`` must agree in so many coordinates first."""
     likely = materialize(pairs, "likely")
-    both = (
-        likely.join(sets.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-        .withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    )
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("words").alias(f"w{p}"), *([F.col("sig").alias(f"s{p}")] if matches else []))
+    both = likely.join(side("a"), "a").join(side("b"), "b")
+    if matches:
+        both = both.filter(collisions("sa", "sb") >= matches)
+    both = both.withColumn("common", F.size(F.array_intersect("wa", "wb")))
     links = both.filter(100 * F.col("common") >= percent * (F.size("wa") + F.size("wb") - F.col("common"))).select("a", "b")
     out = materialize(links, "links")
     release(likely)
@@ -256,14 +259,19 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     nodes = held.select("node").distinct()
     fine = materialize(sets.join(nodes, "node", "left_semi").mapInArrow(_fine, "node long, fine array<long>"), "fine")
     keys = materialize(posts.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
-    rest = materialize(held.join(fine, "node").join(keys, "node"), "rest")
-    left = rest.filter("component <> main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("fine").alias("fa"), F.col("keys").alias("ka"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("fine").alias("fb"), F.col("keys").alias("kb"))
+    words = range(FINE_BITS // 64)
+    rest = held.join(fine.select("node", *(F.col("fine")[i].alias(f"f{i}") for i in words)), "node").join(keys, "node")
+    rest = materialize(rest, "rest")
+    left = rest.filter("component <> main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("keys").alias("ka"), *(F.col(f"f{i}").alias(f"fa{i}") for i in words))
+    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("keys").alias("kb"), *(F.col(f"f{i}").alias(f"fb{i}") for i in words))
     other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close
+    near = (bits_apart("fa", "fb", FIRST_WORDS) <= FIRST_APART) & (bits_apart("fa", "fb") <= FINE_APART)
     once = F.array_min(F.array_intersect("ka", "kb")) == left["key"]
-    cross = left.join(right, (left["key"] == right["key"]) & other & (bits_apart("fa", "fb") <= FINE_APART) & once)
-    cross = materialize(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
-    more = _confirmed(_colliding(cross, reps, matches), sets, percent)
+    cross = left.join(right, (left["key"] == right["key"]) & other & near & once)
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # few pairs are left: their signatures and sets are looked up in one step
+    both = materialize(sets.join(nodes, "node", "left_semi").join(reps.select("node", "sig"), "node"), "both")
+    more = _confirmed(cross, both, percent, matches)
     return materialize(connected_components(materialize(found.unionByName(more), "every")), "comps")
 
 

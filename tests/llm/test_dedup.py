@@ -127,9 +127,12 @@ def test_near_ids_with_several_texts(spark):
 def test_bounds_of_missed_links():
     """The tails that the module states, at a similarity of exactly 0.8."""
     below = sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(near_dedup.MATCHES))
-    n, most = near_dedup.FINE_BITS, near_dedup.FINE_APART
-    above = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.1) + (n - i) * math.log(0.9)) for i in range(most + 1, n + 1))
-    assert below < 4.3e-6 and above < 3.2e-7 and below + above < 1e-5
+
+    def above(n, most):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.1) + (n - i) * math.log(0.9)) for i in range(most + 1, n + 1))
+
+    whole, first = above(near_dedup.FINE_BITS, near_dedup.FINE_APART), above(64 * near_dedup.FIRST_WORDS, near_dedup.FIRST_APART)
+    assert below < 4.3e-6 and whole + first < 2.2e-6 and below + whole + first < 1e-5
 
 
 def test_near_blurred_group(spark):
