@@ -208,3 +208,17 @@ def test_first_header_and_bad_bytes(spark, tmp_path):
     assert "UTF-8" in tables.list_lines(spark, str(folder), ["a", "b"])[0]
     (tmp_path / "empty.tsv").write_text("")
     assert "empty" in tables.list_lines(spark, str(tmp_path / "empty.tsv"), ["a", "b"])[0]
+
+
+def test_routes_of_all_candidates_come_from_one_join(spark):
+    from kinmatch.plans import catalogue
+
+    a, t = catalogue.keyed(spark, "/root/testdata/sf0.001")
+    met = blocking.candidates(a, t, with_routes=True)
+    plain = {}
+    for r in blocking.ROUTES:
+        for pair in blocking.route(a, t, r).collect():
+            plain.setdefault(tuple(pair), set()).add(r.name)
+    assert {(x[0], x[1]): x["routes"] for x in met.collect()} == {k: sorted(v) for k, v in plain.items()}
+    # each side is read to be counted and to be joined, not anew for every route
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 20
