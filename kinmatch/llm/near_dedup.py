@@ -46,6 +46,10 @@ from kinmatch.llm.common import WORD_BYTES, encoded, materialize, mix, release,
 from kinmatch.llm.components import connected_components
 
 COORDINATES = 64
+#: Bits (a power of two) that stand for wanted ids before texts are shuffled.
+SCREEN_BITS = 27
+#: Coordinates that are posted at a time.
+POSTED = 16
 #: Coordinates that must agree before a pair is confirmed on full sets.
 MATCHES = 36
 #: Members of a list's main component that its other members are held against before the exhaustive pass.
@@ -172,17 +176,26 @@ def collisions(left: str, right: str):
 
 
 def prefix_posts(reps: DataFrame, matches: int) -> DataFrame:
-    """(node, n, key): each class under its rarest shared values, as many as the threshold needs."""
-    posts = reps.select("node", "n", F.explode("sig").alias("key"))
-    shared = materialize(posts.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "lists")
-    held = posts.join(shared, "key")
+    """(node, n, key): each class under its rarest shared values, as many as the threshold needs.
+
+    Few values are shared, so a quarter of the coordinates is shuffled at a time and only its shared values stay on disk.
+    """
+    parts = []
+    for at in range(0, COORDINATES, POSTED):
+        posts = reps.select("node", "n", F.explode(F.slice("sig", at + 1, POSTED)).alias("key"))
+        shared = materialize(posts.groupBy("key").agg(F.count("*").alias("listed")).filter("listed > 1"), "lists")
+        parts.append(materialize(posts.join(shared, "key"), "held"))
+        release(shared)
+    held = reduce(DataFrame.unionByName, parts)
     ranked = (
         held.groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("listed", "key"))).alias("by"))
         .filter(F.size("by") >= matches)
         .select("node", "n", F.explode(F.slice("by", F.lit(1), F.size("by") - (matches - 1))).alias("p"))
     )
-    return materialize(ranked.select("node", "n", F.col("p.key").alias("key")), "posts")
+    out = materialize(ranked.select("node", "n", F.col("p.key").alias("key")), "posts")
+    release(*parts)
+    return out
 
 
 def _colliding(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
@@ -210,11 +223,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int | N
     return out
 
 
+def screened(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``: bits of hashes, broadcast in pieces of 4 KB, at most 16 MB in all.
+
+    None that is wanted is lost; the join that follows drops what else the bits let through.
+    """
+    h = F.xxhash64(key).bitwiseAND(F.lit((1 << SCREEN_BITS) - 1))
+    piece, bit = F.shiftright(h, 15), h.bitwiseAND(F.lit(32767))
+    bits = F.broadcast(wanted.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(bits, piece == F.col("_piece"))
+    return met.filter(F.lit(0) < byte.bitwiseAND(F.pow(F.lit(2), bit.bitwiseAND(F.lit(7))).cast("int"))).select(*rows.columns)
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(node, words): the full shingle set of each class, from the text of its smallest id; one row a class."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(classes.select("low", "node", "k0", "k1"), "low")
+    texts = screened(docs.select(F.col("doc_id").cast("long").alias("low"), "text"), classes, "low").join(classes.select("low", "node", "k0", "k1"), "low")
     sets = materialize(texts.select("node", "k0", "k1", "text").mapInArrow(_set_builder(width), "node long, words array<long>"), "sets")
-    return sets if sets.count() == classes.count() else materialize(sets.dropDuplicates(["node"]), "sets")
+    if sets.count() == classes.count():
+        return sets
+    out = materialize(sets.dropDuplicates(["node"]), "sets")
+    release(sets)
+    return out
 
 
 def _met(posts: DataFrame, pivots: DataFrame, close) -> DataFrame:
@@ -233,9 +263,13 @@ def _open_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
     """(key, node, n, component, main) of the lists whose members lie in several components; ``main`` is the component with the most of them."""
     comps = materialize(connected_components(found), "comps")
     placed = materialize(posts.join(comps, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+    release(comps)
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
     main = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    return materialize(placed.join(materialize(main, "main"), "key"), "open")
+    main = materialize(main, "main")
+    out = materialize(placed.join(main, "key"), "open")
+    release(placed, main)
+    return out
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: int) -> DataFrame:
@@ -253,6 +287,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     pivots = materialize(picked.select("key", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("end")), "pivots")
     apart = held.filter(F.col("component") != F.col("main"))
     found = materialize(found.unionByName(_confirmed(_colliding(_met(apart, pivots, close), reps, matches), sets, percent)), "found")
+    release(held)
     # What is left: the members outside the main component of a list against all of the list. Each pair meets once,
     # under the first of its common postings, and only if its fine sketches are near enough.
     held = _open_lists(posts, found)
@@ -262,6 +297,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     words = range(FINE_BITS // 64)
     rest = held.join(fine.select("node", *(F.col("fine")[i].alias(f"f{i}") for i in words)), "node").join(keys, "node")
     rest = materialize(rest, "rest")
+    release(fine, keys)
     left = rest.filter("component <> main").select("key", "main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("keys").alias("ka"), *(F.col(f"f{i}").alias(f"fa{i}") for i in words))
     right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("keys").alias("kb"), *(F.col(f"f{i}").alias(f"fb{i}") for i in words))
     other = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & close
@@ -272,20 +308,24 @@ def links(docs: DataFrame, reps: DataFrame, width: int, matches: int, percent: i
     # few pairs are left: their signatures and sets are looked up in one step
     both = materialize(sets.join(nodes, "node", "left_semi").join(reps.select("node", "sig"), "node"), "both")
     more = _confirmed(cross, both, percent, matches)
+    release(rest, both, sets, posts)
     return materialize(connected_components(materialize(found.unionByName(more), "every")), "comps")
 
 
 def near_rows(docs: DataFrame, width: int = 5, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """One row per input row: doc_id, t0 and t1 (hashes of the text), n_shingles, component_id, kept, and ``root``, which names the component."""
-    rows = materialize(sketches(docs, width), "sketch")
+    sketched = materialize(sketches(docs, width), "sketch")
     by = ["k0", "k1", "n_shingles"]
-    classes = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
+    classes = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = materialize(sketched.drop("sig"), "rows")  # the signatures, most of the table, need not wait for the end
+    release(sketched)
     comps = links(docs, classes.withColumnRenamed("n_shingles", "n"), width, matches, percent)
     placed = materialize(classes.select(*by, "low", "node").join(comps, "node", "left").select(*by, "low", F.coalesce("component", "node").alias("root")), "placed")
+    release(classes)
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     placed = materialize(placed.join(lowest, "root").select(*by, "root", "component_id"), "placed")
-    out = rows.drop("sig").join(placed, by, "left")
+    out = rows.join(placed, by, "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.withColumn("component_id", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("root", F.when(linked, F.col("root")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t0", "t1", "root")

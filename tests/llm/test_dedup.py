@@ -164,3 +164,24 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(10, 40)] + [(3, 1), (2, 3), (2, 2), (1, 3), (50, 60), (50, 61), (50, 62)]
     got = dict(rows_of(connected_components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
     assert got == {**{i: 10 for i in range(10, 41)}, 1: 1, 2: 1, 3: 1, 50: 50, 60: 50, 61: 50, 62: 50}
+
+
+def test_shuffle_files_go_with_a_write(spark):
+    from kinmatch.llm.common import CLEANUP, materialize
+
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: jvm.getAllFiles().size()
+    before = held()
+    out = materialize(spark.range(10000).selectExpr("id * 7 AS z").repartition(5, "z").groupBy("z").count(), "probe")
+    assert held() <= before
+    assert out.count() == 10000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_screen_loses_no_wanted_row_and_few_others_pass(spark):
+    from kinmatch.llm.near_dedup import screened
+
+    rows = spark.range(20000).selectExpr("id * 982451653 - 9000000000000 AS low", "id")
+    kept = {r["id"] for r in screened(rows, rows.filter("id % 10 = 0").select("low"), "low").collect()}
+    assert kept >= set(range(0, 20000, 10)) and len(kept) < 2100
+    assert screened(rows, rows.filter("id < 0"), "low").count() == 0
