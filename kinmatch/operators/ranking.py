@@ -46,6 +46,24 @@ def recall_at_k(candidates: DataFrame, truth: DataFrame, ks: Sequence[int] = TOP
     )
 
 
+def recall_by_rank(ranks: DataFrame, ks: Sequence[int] = TOP_K) -> DataFrame:
+    """:func:`recall_at_k` from (rank, n, hits, listed): pairs of a rank, true ones, and all true pairs of their records."""
+    ks_df = F.broadcast(ranks.sparkSession.createDataFrame([(k,) for k in ks], "top_k int"))
+    first = lambda c: F.sum(F.when(F.col("rank") == 1, F.col(c)))
+    by_rank = ranks.filter("rank > 0").groupBy("rank").agg(*(F.sum(c).alias(c) for c in ("n", "hits", "listed")))
+    sums = by_rank.join(ks_df, F.col("rank") <= F.col("top_k")).groupBy("top_k").agg(
+        first("listed").alias("true_pairs"), F.sum("hits").alias("recovered_true_pairs"), F.sum("n").alias("candidate_pairs"), first("n").alias("n_s1")
+    )
+    return sums.select(
+        "top_k",
+        "true_pairs",
+        "recovered_true_pairs",
+        F.when(F.col("true_pairs") > 0, F.col("recovered_true_pairs") / F.col("true_pairs")).otherwise(F.lit(0.0)).alias("recall"),
+        "candidate_pairs",
+        (F.col("candidate_pairs") / F.col("n_s1")).alias("average_candidates_per_s1"),
+    )
+
+
 def capped_blocks(targets: DataFrame, key: str, cap: int = 500) -> DataFrame:
     """At most ``cap`` targets of a block, those that come first by hash of their id: a sample, for diagnostics."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.md5("entity_id"), "entity_id"))
