@@ -456,13 +456,20 @@ class _Vectors:
         self.rows: list[np.ndarray] = []
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        different, inverse = np.unique(x.astype(np.int32).view([("", np.int32)] * x.shape[1]).ravel(), return_inverse=True)
-        out = np.empty(len(different), np.int64)
-        for i, v in enumerate(different):
+        x = x.astype(np.int32)
+        packed, room = np.zeros(len(x), np.int64), 1
+        for column in x.T:
+            span = int(column.max(initial=0)) + 1
+            packed, room = packed * span + column, room * span
+        if room >= 1 << 62:
+            packed = np.ascontiguousarray(x).view([("", np.int32)] * x.shape[1]).ravel()
+        _, first, inverse = np.unique(packed, return_index=True, return_inverse=True)
+        out = np.empty(len(first), np.int64)
+        for i, v in enumerate(x[first]):
             b = v.tobytes()
             if b not in self.known:
                 self.known[b] = len(self.rows)
-                self.rows.append(np.frombuffer(b, np.int32))
+                self.rows.append(v)
             out[i] = self.known[b]
         return out[inverse]
 
